@@ -133,3 +133,21 @@ def test_lines_edges(spark):
     got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()}
     assert got == {(1, base + "\nsecond line here"): (2, 0), (2, "x y z"): (2, 1), (3, None): (0, 0), (4, ""): (1, 0), (5, "own words only"): (2, 1), (None, base): (1, 0), (6, "---\n---\n123"): (3, 0), (7, ""): (1, 1), (8, "tail " * 70000): (1, 0)}
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_edit_distance():
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("abé", k=rng.randrange(12))) for _ in range(2))
+        assert lines.edit_distance(a, b) == brute(a, b), (a, b)
+    a = "".join(rng.choices("abcdef ", k=300))
+    b = a[:100] + "xyz" + a[110:250] + "q" + a[250:]
+    assert lines.edit_distance(a, b) == brute(a, b)
