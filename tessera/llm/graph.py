@@ -11,6 +11,8 @@ from .store import cut, drop, written
 
 #: Most rows of a bucket that one task compares with each other or with another block.
 BLOCK = 512
+#: Cells of up to so many rows are compared together.
+SMALL = 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -104,10 +106,15 @@ def near_in_cells(batches, cutoff: int):
         s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
         left, right = [], []
         length = np.diff(at)
-        pairs = at[:-1][length == 2]  # most buckets
-        near = np.bitwise_count(s1[pairs] ^ s1[pairs + 1]).astype(np.int64) + np.bitwise_count(s2[pairs] ^ s2[pairs + 1]) <= cutoff
-        left.append(ids[pairs[near]]), right.append(ids[pairs[near] + 1])
-        for lo, hi in zip(at[:-1][length > 2], at[1:][length > 2]):
+        for m in range(2, SMALL + 1):  # most cells: all of one size at once
+            rows = at[:-1][length == m][:, None] + np.arange(m)
+            near = np.bitwise_count(s1[rows][:, :, None] ^ s1[rows][:, None]).astype(np.int16) + np.bitwise_count(s2[rows][:, :, None] ^ s2[rows][:, None]) <= cutoff
+            pair = np.triu(near, 1)
+            # a pair that an earlier row is close to both of is connected without its own edge
+            part = pair.astype(np.float32)
+            cell, x, y = np.nonzero(pair & (np.swapaxes(part, 1, 2) @ part < 0.5))
+            left.append(ids[rows[cell, x]]), right.append(ids[rows[cell, y]])
+        for lo, hi in zip(at[:-1][length > SMALL], at[1:][length > SMALL]):
             a, b = s1[lo:hi], s2[lo:hi]
             near = np.bitwise_count(a[:, None] ^ a).astype(np.int16) + np.bitwise_count(b[:, None] ^ b) <= cutoff
             if found := forest(near):
