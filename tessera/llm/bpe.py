@@ -9,60 +9,97 @@ import itertools
 import sys
 import types
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 150_000
+#: Words whose ids a Python worker remembers, and characters of text that are one corpus for a replay.
+REMEMBERED, CORPUS = 250_000, 1 << 23
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], table: list[bytes]) -> list[list[int]]:
-    """Ids of each word.
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted pairs left * 2**20 + right, rank of each): every way to join two tokens to a third."""
+    found = {}
+    for token, r in ranks.items():
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                found[left << 20 | right] = r
+    keys = np.fromiter(found, np.int64, len(found))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
+
+
+def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, bounds of each word).
 
     All words are one corpus: ``where`` leads from a merge's rank to the places
-    (word, position) of its pairs.  Ranks come off a heap, lowest first; a merge
-    visits its places from left to right and enters only the two pairs beside
-    each merged one.
+    of its pairs.  Ranks come off a heap, lowest first; a merge joins all its
+    places at once, of overlapping ones the left, and enters only the pairs
+    beside each joined one.
     """
-    ids = [[ranks[w[k : k + 1]] for k in range(len(w))] for w in words]
-    after = [list(range(1, len(w) + 1)) for w in words]
-    before = [list(range(-1, len(w) - 1)) for w in words]
-    where: dict[int, list[tuple[int, int]]] = {}
-    for i, w in enumerate(words):
-        for k in range(len(w) - 1):
-            r = ranks.get(w[k : k + 2])
-            if r is not None:
-                where.setdefault(r, []).append((i, k))
-    heap = list(where)
-    heapq.heapify(heap)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    n = len(data)
+    ends = np.cumsum([len(w) for w in words])
+    own = byte_ids[data]
+    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt[ends - 1] = n  # nothing follows a word's last byte
+    prv[np.concatenate(([0], ends[:-1]))] = -1
+    own = np.append(own, -1)
+    keys, of = pairs
+    live = np.full(n + 1, -1)  # rank of the pair that starts here
+    where: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def enter(at: np.ndarray) -> None:
+        """Look up the pairs that start at ``at`` and file them by rank."""
+        right = own[nxt[at]]
+        want = own[at] << 20 | right
+        k = np.searchsorted(keys, want)
+        k[k == len(keys)] = 0
+        r = np.where((keys[k] == want) & (right >= 0), of[k], -1)
+        live[at] = r
+        at, r = at[r >= 0], r[r >= 0]
+        if not len(at):
+            return
+        order = np.argsort(r, kind="stable")
+        at, r = at[order], r[order]
+        cut = np.flatnonzero(np.diff(r)) + 1
+        for lo, hi, rank in zip([0, *cut.tolist()], [*cut.tolist(), len(r)], r[np.concatenate(([0], cut))].tolist()):
+            if rank not in where:
+                where[rank] = []
+                heapq.heappush(heap, rank)
+            where[rank].append(at[lo:hi])
+
+    if n:
+        enter(np.arange(n))
     while heap:
         r = heapq.heappop(heap)
-        whole = table[r]
-        for i, k in sorted(where.pop(r, ())):
-            own, nxt, prv = ids[i], after[i], before[i]
-            if own[k] < 0 or (j := nxt[k]) >= len(own) or table[own[k]] + table[own[j]] != whole:
-                continue
-            own[k], own[j] = r, -1
-            nxt[k] = m = nxt[j]
-            if m < len(own):
-                prv[m] = k
-                new = ranks.get(whole + table[own[m]])
-                if new is not None:
-                    if new not in where:
-                        where[new] = []
-                        heapq.heappush(heap, new)
-                    where[new].append((i, k))
-            p = prv[k]
-            if p >= 0:
-                new = ranks.get(table[own[p]] + whole)
-                if new is not None:
-                    if new not in where:
-                        where[new] = []
-                        heapq.heappush(heap, new)
-                    where[new].append((i, p))
-    return [[x for x in own if x >= 0] for own in ids]
+        lists = where.pop(r)
+        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = at[live[at] == r]
+        if len(at) > 1 and (nxt[at[:-1]] == at[1:]).any():
+            keep, last = np.ones(len(at), bool), -1
+            for k, (x, y) in enumerate(zip(at.tolist(), nxt[at].tolist())):
+                if x == last:
+                    keep[k] = False  # its first half is taken
+                else:
+                    last = y
+            at = at[keep]
+        if not len(at):
+            continue
+        gone = nxt[at]
+        after = nxt[gone]
+        own[at], own[gone], live[gone] = r, -2, -1
+        nxt[at] = after
+        inside = after < n
+        prv[after[inside]] = at[inside]
+        before = prv[at]
+        enter(np.unique(np.concatenate((at, before[before >= 0]))))
+    kept = own[:-1] >= 0
+    return own[:-1][kept], np.concatenate(([0], np.cumsum(kept)[ends - 1])) if n else np.zeros(len(words) + 1, np.int64)
 
 
 class Codec:
@@ -75,18 +112,29 @@ class Codec:
         self.table = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.table[r] = token
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs = pair_table(self.ranks)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        raw = {w: w.encode("utf-8", "surrogatepass") for w in words if w not in self.known}
-        long = [w for w, b in raw.items() if b not in self.ranks]
-        ids = dict(zip(long, replay([raw[w] for w in long], self.ranks, self.table)))
-        for w, b in raw.items():
-            own = tuple(ids[w]) if w in ids else (self.ranks[b],)
-            self.known[w] = own, " ".join(map(str, own))
+        long = []
+        for w in words:
+            if w not in self.known:
+                b = w.encode("utf-8", "surrogatepass")
+                r = self.ranks.get(b)
+                if r is None:
+                    long.append((w, b))
+                else:
+                    self.known[w] = (r,), str(r)
+        if long:
+            ids, bounds = replay([b for _, b in long], self.byte_ids, self.pairs)
+            ids, bounds = ids.tolist(), bounds.tolist()
+            for (w, _), lo, hi in zip(long, bounds, bounds[1:]):
+                own = tuple(ids[lo:hi])
+                self.known[w] = own, " ".join(map(str, own))
 
     def encode(self, texts: list) -> list[list]:
         """Entries (ids, their decimals) of each text's matches."""
@@ -114,7 +162,7 @@ def _digests(batches, lines: bytes, pattern: str):
     own = codec(lines, pattern)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for lo, hi in tv.chunks(texts):
+        for lo, hi in tv.chunks(texts, CORPUS):
             rows = []
             for words in own.encode(texts[lo:hi]):
                 tokens = list(itertools.chain.from_iterable(e[0] for e in words))
@@ -127,7 +175,7 @@ def _encoded(batches, lines: bytes, pattern: str):
     own = codec(lines, pattern)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for lo, hi in tv.chunks(texts):
+        for lo, hi in tv.chunks(texts, CORPUS):
             got = [list(itertools.chain.from_iterable(e[0] for e in words)) for words in own.encode(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
