@@ -27,14 +27,15 @@ RULES = (
 LEAST_RATIO, MOST_RATIO = {0: 8.0, 1: 1.2}, {0: 1000.0, 1: 5.0}
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """Counts per row of ``docs`` (doc_id, text).  Windows of five words are told apart by 64-bit hashes."""
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts per row of ``docs`` (doc_id, text), with the columns ``carry``.  Windows of five words are told apart by 64-bit hashes."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", t.alias("t"), F.filter(F.split(t, SPACE), lambda x: x != "").alias("w"))
+    docs = docs.select("doc_id", "text", F.struct(*carry).alias("row") if carry else F.lit(0).alias("row"))
+    out = docs.select("doc_id", "row", t.alias("t"), F.filter(F.split(t, SPACE), lambda x: x != "").alias("w"))
     out = out.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("n_words", F.size("w").cast("long")).withColumn("joined", F.array_join("w", ""))
     out = out.select(
-        "doc_id", "n_words", F.length("joined").cast("long").alias("word_chars"), F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "row", "n_words", F.length("joined").cast("long").alias("word_chars"), F.size("lines").cast("long").alias("n_lines"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length(F.regexp_replace("joined", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
@@ -88,6 +89,18 @@ def posterior(prior: float, ratio: list[float], rules: tuple = RULES) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+def judged(docs: DataFrame, carry: tuple[str, ...] = (), rules: tuple = RULES) -> DataFrame:
+    """The measures and verdicts of judge(), with the columns ``carry`` of each row in the struct ``row``."""
+    made = cut(measures(docs, carry))
+    made = made.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    made = made.select("*", *votes(rules))
+    names = [f"v_{r[0]}" for r in rules]
+    patterns = cut(made.groupBy(*names).agg(F.count("*").alias("n")))
+    prior, ratio = learn(patterns, rules)
+    made = made.withColumn("p_good", F.round(1 - posterior(prior, ratio, rules), 9))
+    return made.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+
+
 def judge(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """Measures, base_failed, p_good and kept per row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -95,12 +108,10 @@ def judge(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     with a posterior quality of at least one half are.  Each row of a repeated
     doc_id is judged alone; doc_id may be null.
     """
-    made = cut(measures(docs))
-    made = made.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    made = made.select("*", *votes(rules))
-    names = [f"v_{r[0]}" for r in rules]
-    patterns = cut(made.groupBy(*names).agg(F.count("*").alias("n")))
-    prior, ratio = learn(patterns, rules)
-    made = made.withColumn("p_good", F.round(1 - posterior(prior, ratio, rules), 9))
-    kept = ~F.col("base_failed") & (F.col("p_good") >= 0.5)
-    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "p_good")
+    return judged(docs, (), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def kept_rows(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, all columns; the texts travel with their verdicts, so no join brings them together."""
+    names = tuple(docs.columns)
+    return judged(docs, names, rules).where("kept").select(*[F.col("row")[c].alias(c) for c in names])
