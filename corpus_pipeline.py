@@ -15,8 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    kept = quality.judge(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return quality.kept_rows(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +27,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
     kept = minhash.near_duplicates(docs, 5, 80).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the last pass of a source ends inside one document."""
     plan = cut(mixing.mix(docs).where("taken > 0").select("doc_id", "size", "copies", "part"))
     whole = F.col("copies") + (F.col("part") == F.col("size")).cast("long")
-    rows = docs.select(*COLUMNS).join(plan.where(whole > 0).select("doc_id", whole.cast("int").alias("n")), "doc_id")
-    rows = rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*COLUMNS)
-    ends = docs.select(*COLUMNS).join(plan.where("part > 0 and part < size").select("doc_id", "part"), "doc_id")
+    last = (F.col("part") > 0) & (F.col("part") < F.col("size"))
+    plan = plan.select("doc_id", whole.alias("whole"), (whole + last.cast("long")).alias("n"), "part")
+    rows = docs.select(*COLUMNS).join(plan.hint("merge"), "doc_id").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    cut_off = F.col("k") > F.col("whole")
     head = F.array_join(F.slice(F.filter(F.split("text", quality.SPACE), lambda w: w != ""), F.lit(1), F.col("part").cast("int")), " ")
-    ends = ends.withColumn("text", head).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-    return rows.unionByName(ends)
+    rows = rows.withColumn("text", F.when(cut_off, head).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(cut_off, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
