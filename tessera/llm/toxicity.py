@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .store import cut
 
 #: Labelled rows fitted at most (those with the smallest hash of doc_id), hash slots, factors, the share of toxic texts a term needs,
 #: and the bytes of a term that count as its beginning (inflected and compound words share it).
@@ -87,17 +88,12 @@ def factors(slot: np.ndarray, bounds: np.ndarray, start: np.ndarray, n_terms: in
     return v
 
 
-def fit(texts: list, y: np.ndarray):
-    """(bias, slots, linear weights, factors).
+def fit(slot: np.ndarray, bounds: np.ndarray, known: np.ndarray, y: np.ndarray):
+    """(bias, slots, linear weights, factors) from each text's places among the ``known`` slots.
 
-    Only terms in LEAST_SHARE of the toxic texts take part; pairs are learned
-    among those with a linear weight and the FREQUENT most common ones.
+    Pairs are learned among the terms with a linear weight and the FREQUENT most
+    common ones.
     """
-    slot, bounds = terms(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    value, count = np.unique(slot[y[owner] > 0], return_counts=True)
-    known = value[count >= max(3, LEAST_SHARE * y.sum())]
-    slot, bounds = among(slot, bounds, known)
     _, w = linear(slot, bounds, len(known), y, 3.0, 40)
     found = np.flatnonzero(w)
     picked = among(slot, bounds, found)
@@ -133,14 +129,42 @@ def _scored(batches, model):
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
 
+def _slots(batches):
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for lo, hi in tv.chunks(texts):
+            yield pa.RecordBatch.from_arrays([pa.array(terms(texts[lo:hi])[0])], names=["slot"])
+
+
+def _places(batches, known: np.ndarray):
+    for batch in batches:
+        y, texts = batch.column(0), batch.column(1).to_pylist()
+        for lo, hi in tv.chunks(texts):
+            at, bounds = among(*terms(texts[lo:hi]), known)
+            at = at.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([y.slice(lo, hi - lo), pa.array([at[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())], names=["toxic", "at"])
+
+
 def toxicity(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) per row of ``docs`` (doc_id, text; others are not read), from ``labelled`` (doc_id, text, toxic).
 
     The machine is fitted on the driver to the ``sample`` labelled rows with the
-    smallest hash of doc_id; rows with a null label or text are not learned
-    from.  Every whole text is scored; a null or empty one scores the bias.
-    With nothing to learn, all score one half.
+    smallest hash of doc_id; the driver gets the slots that LEAST_SHARE of the
+    toxic ones hold and each row's places among these, not the texts.  Rows with
+    a null label or text are not learned from.  Every whole text is scored; a
+    null or empty one scores the bias.  With nothing to learn, all score one
+    half.
     """
-    rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample).collect()
-    model = fit([r.text for r in rows], np.array([r.toxic for r in rows], np.float64)) if rows else (0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
+    rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample))
+    toxic = rows.where("toxic = 1").select("text")
+    least = max(3, LEAST_SHARE * toxic.count())
+    found = toxic.mapInArrow(_slots, "slot long").groupBy("slot").count().where(F.col("count") >= least).select("slot").collect()
+    known = np.sort(np.array([r[0] for r in found], np.int64))
+    got = rows.select("toxic", "text").mapInArrow(lambda it: _places(it, known), "toxic int, at binary").collect()
+    model = (0.0, np.empty(0, np.int64), np.empty(0), np.empty((0, FACTORS)))
+    if got:
+        got = sorted((r[1], r[0]) for r in got)  # the same order in every run
+        at = [np.frombuffer(x, np.int32) for x, _ in got]
+        model = fit(np.concatenate(at).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in at]))), known, np.array([y for _, y in got], np.float64))
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, model), "doc_id long, score double")
