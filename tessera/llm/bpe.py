@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import itertools
@@ -143,14 +144,20 @@ class Codec:
         if new:
             self.learn(new if len(self.known) <= REMEMBERED else set(itertools.chain.from_iterable(split)))
         known = self.known
-        return [[known[w] for w in words] for words in split]
+        return [list(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
 
 def codec(lines: bytes, pattern: str) -> Codec:
-    """One codec per Python worker and vocabulary, so that tasks share the words met."""
+    """One codec per Python worker and vocabulary, so that tasks share the words met.
+
+    What it remembers stays out of the collector's rounds: it holds no cycles,
+    and there are hundreds of thousands of entries.
+    """
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 100)
     held = sys.modules.setdefault("_tessera_held", types.ModuleType("_tessera_held")).__dict__
     key = hashlib.sha256(lines + pattern.encode()).digest()
     if key not in held:
