@@ -37,7 +37,7 @@ def _sql(value: str, more: str = "", source: str = "panel") -> str:
 #: Element-wise: name -> (expression, SQL of panel cells x and y)
 SCALAR = {
     "abs": ("(abs x)", "abs(x)"), "flip": ("(flip x)", "-x"), "neg": ("(neg x)", "-x"), "inverse": ("(inverse x)", "1 / nullif(x, 0)"), "log": ("(log x)", "CASE WHEN x > -1 THEN ln(x + 1) END"),
-    "sigmoid": ("(sigmoid x)", "1 / (1 + exp(-x))"), "sign": ("(sign x)", "sign(x)"), "sinh": ("(sinh x)", "(exp(x) - exp(-x)) / 2"), "tanh": ("(tanh x)", "(exp(2 * x) - 1) / (exp(2 * x) + 1)"),
+    "sigmoid": ("(sigmoid x)", "1 / (1 + exp(-x))"), "sign": ("(sign x)", "sign(x)"), "sinh": ("(sinh (tanh x))", "(exp((exp(2 * x) - 1) / (exp(2 * x) + 1)) - exp(-(exp(2 * x) - 1) / (exp(2 * x) + 1))) / 2"), "tanh": ("(tanh x)", "(exp(2 * x) - 1) / (exp(2 * x) + 1)"),
     "sin": ("(sin x)", "sin(x)"), "cos": ("(cos x)", "cos(x)"), "tan": ("(tan x)", "tan(x)"), "cot": ("(cot (add y 3))", "1 / tan(y + 3)"), "fill_na": ("(fill_na x)", "coalesce(x, 0)"),
     "is_valid": ("(is_valid x)", "x IS NOT NULL"), "const": ("(const 2.5)", "2.5"), "bound": ("(bound x y 0.5)", "coalesce(abs(x - y) <= 0.5, false)"), "pow": ("(pow x 2)", "x * x"),
     "spow": ("(spow x 0.5)", "sign(x) * sqrt(abs(x))"), "pow_int": ("(pow_int x 3)", "x * x * x"), "spow_int": ("(spow_int x 2)", "sign(x) * x * x"), "add": ("(add x y 1)", "x + y + 1"), "sub": ("(sub x y 1)", "x - y - 1"),
