@@ -148,6 +148,7 @@ def test_edit_distance():
     for _ in range(3000):
         a, b = ("".join(rng.choices("abé", k=rng.randrange(12))) for _ in range(2))
         assert lines.edit_distance(a, b) == brute(a, b), (a, b)
+        assert lines.words_apart(list(a), list(b)) <= brute(a, b), (a, b)
     a = "".join(rng.choices("abcdef ", k=300))
     b = a[:100] + "xyz" + a[110:250] + "q" + a[250:]
     assert lines.edit_distance(a, b) == brute(a, b)
