@@ -344,6 +344,29 @@ def _boundsize(df, b):
     return per_date(df, step)
 
 
+@op("bounddvol")
+def _bounddvol(df, traded, booksize, share):
+    """Weights of the positive values, capped at a share of the traded value; other finite values become 0.
+
+    What is cut off goes to the rest in the order of their room (bound less
+    weight, then ii): each in turn raises itself and all after it by its room, until
+    what is left raises them evenly.  Without a traded value the room is unlimited.
+    """
+    x = fin(val())
+    own = F.coalesce(x > 1e-6, F.lit(False))
+    kept = df.columns
+    df = df.withColumn("_w", F.when(own, x / F.sum(F.when(own, x)).over(day()))).withColumn("_b", fin(F.col(traded).cast("double")) * float(share) / float(booksize))
+    over = F.coalesce(F.col("_w") > F.col("_b"), F.lit(False))
+    df = df.withColumn("_cut", F.sum(F.when(over, F.col("_w") - F.col("_b"))).over(day())).withColumn("_free", own & ~over)
+    df = df.withColumn("_room", F.coalesce(F.col("_b") - F.col("_w"), F.lit(1e300)))
+    line = Window.partitionBy("dti", "_free").orderBy("_room", "ii")
+    df = df.withColumn("_left", F.count("*").over(Window.partitionBy("dti", "_free")) - F.row_number().over(line) + 1)
+    spent = F.coalesce(F.sum(F.col("_left") * F.col("_room")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    df = df.withColumn("_add", F.greatest(F.lit(0.0), F.least("_room", (F.coalesce("_cut", F.lit(0.0)) - spent) / F.col("_left"))))
+    raised = F.col("_w") + F.sum("_add").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("value", F.when(F.col("_free"), raised).when(own, F.col("_b")).when(x.isNotNull(), 0.0)).select(kept)
+
+
 def _trailing(name: str, more: int = 0):
     """A trailing operation: gaps of up to 60 rows filled, then the last rows, missing ones skipped."""
 

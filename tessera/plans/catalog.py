@@ -152,6 +152,11 @@ def _chain_sql(value: str, more: str = "", source: str = "panel") -> str:
 
 _D, _I = "panel WINDOW w AS (PARTITION BY dti)", "panel WINDOW w AS (PARTITION BY ii ORDER BY dti)"
 _U = ", u AS (SELECT dti, ii, univ, g, CASE WHEN univ THEN x END AS x FROM panel)"
+_ROOM = """, w AS (SELECT dti, ii, x, CASE WHEN x > 1e-6 THEN x / sum(x) FILTER (x > 1e-6) OVER (PARTITION BY dti) END AS w, y * 0.04 AS b FROM panel),
+    c AS (SELECT *, coalesce(w > b, false) AS above, w IS NOT NULL AND NOT coalesce(w > b, false) AS free, coalesce(b - w, 1e300) AS room, coalesce(sum(w - b) FILTER (w > b) OVER (PARTITION BY dti), 0) AS cut FROM w),
+    k AS (SELECT *, count(*) OVER (PARTITION BY dti, free) - row_number() OVER (PARTITION BY dti, free ORDER BY room, ii) + 1 AS n FROM c),
+    a AS (SELECT *, greatest(0, least(room, (cut - coalesce(sum(n * room) OVER (PARTITION BY dti, free ORDER BY room, ii ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n)) AS more FROM k),
+    r AS (SELECT *, w + sum(more) OVER (PARTITION BY dti, free ORDER BY room, ii ROWS UNBOUNDED PRECEDING) AS raised FROM a)"""
 #: Operations: name -> (chain, SQL or None)
 CHAINS = {
     "neg": ("neg", _chain_sql("-x")), "add": ("add:2", _chain_sql("x + 2")), "multiply": ("multiply:3", _chain_sql("x * 3")), "log": ("add:9|log", _chain_sql("ln(x + 9)")), "inverse": ("add:9|inverse", _chain_sql("1 / (x + 9)")), "pow": ("pow:2", _chain_sql("sign(x) * x * x")),
@@ -161,6 +166,7 @@ CHAINS = {
     "scaleraw": ("scaleraw:100", _chain_sql("x * 100 / sum(abs(x)) OVER w", "", _D)), "scalebound": ("scalebound:5", _chain_sql("CASE WHEN sum(abs(x)) OVER w > 5 THEN x * 5 / sum(abs(x)) OVER w ELSE x END", "", _D)), "neut": ("neut:g", _chain_sql("CASE WHEN g >= 0 THEN x - avg(x) OVER (PARTITION BY dti, g) END")), "gmom": ("gmom:g", _chain_sql("CASE WHEN g >= 0 AND x IS NOT NULL THEN avg(x) OVER (PARTITION BY dti, g) END")),
     "univ": ("univ", _chain_sql("CASE WHEN univ THEN x END")), "reject": ("reject:g", _chain_sql("CASE WHEN g = 0 THEN x END")), "best": ("best:5", _chain_sql("CASE WHEN row_number() OVER (PARTITION BY dti ORDER BY x DESC NULLS LAST, ii) <= 5 THEN x END")), "upbound": ("upbound:3", None), "hedge": ("hedge:0,50", _chain_sql("CASE WHEN ii = 50 THEN -sum(CASE WHEN ii < 50 THEN greatest(x, 0) END) OVER w WHEN ii < 50 AND x < 0 THEN 0 ELSE x END", "", _D)),
     "hedgeshort": ("hedgeshort:0,50", _chain_sql("CASE WHEN ii = 50 THEN sum(CASE WHEN ii < 50 THEN greatest(-x, 0) END) OVER w WHEN ii < 50 AND x > 0 THEN 0 ELSE x END", "", _D)), "hedgesig": ("hedgesig:3", _chain_sql("x - coalesce(max(CASE WHEN ii = 3 THEN x END) OVER w, 0)", "", _D)), "expdecay": ("expdecay:0.3", None), "sexpdecay": ("sexpdecay:0.3", None), "boundsize": ("boundsize:0.05", None), "neutidx": ("neutidx:y,g", None),
+    "bounddvol": ("bounddvol:y,25,1", _chain_sql("CASE WHEN free THEN raised WHEN above THEN b WHEN isfinite(x) THEN 0 END", _ROOM, "r")),
     **{name: (f"{name}:5" + (",0.3" if name == "tsema" else ""), None) for name in chain.BUILD},
 }
 

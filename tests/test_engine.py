@@ -36,6 +36,15 @@ def test_hedge(spark):
     assert grid(chain.apply_chain(p, "hedge:0,5")) == [[0, 1, 2, 0, 0, -3]]
 
 
+def test_bounded_by_traded_value(spark):
+    rows = [(0, i, x, d) for i, (x, d) in enumerate([(5.0, 0.2), (3.0, 0.35), (2.0, 0.3), (-1.0, 9.0), (None, 1.0)])]
+    p = spark.createDataFrame(rows, "dti int, ii int, value double, d double")
+    # 0.3 is cut off: the second and third rise by 0.05 together, then the third takes the least of its room and what is left
+    assert grid(chain.apply_chain(p, "bounddvol:d,1,1")) == [[0.2, 0.35, 0.35, 0, None]]
+    assert grid(chain.apply_chain(p.withColumn("d", F.lit(None).cast("double")), "bounddvol:d,1,1")) == [[0.5, 0.3, 0.2, 0, None]]
+    assert chain.apply_chain(p.limit(0), "bounddvol:d,1,1").count() == 0
+
+
 def test_gaps(spark):
     short, long = [[1], *[[None]] * 60, [62]], [[1], *[[None]] * 61, [63]]
     assert grid(evaluate(panel(spark, short), "(ts_mean x 62)"))[-1] == [31.5]
