@@ -368,14 +368,22 @@ def _bounddvol(df, traded, booksize, share):
 
 
 def _trailing(name: str, more: int = 0):
-    """A trailing operation: gaps of up to 60 rows filled, then the last rows, missing ones skipped."""
+    """A trailing operation: gaps of up to 60 rows filled, then the last rows from the first present one on, later missing ones skipped.
+
+    A frame short enough to hold one side of an unfilled gap only starts after the gap; a longer one starts at the instrument's first value.
+    """
 
     def run(df, n, *rest):
         plan = Plan(df, None)
         x = plan.keep(fin(val()))
         t = plan.keep(F.row_number().over(history()))
         full = plan.keep(plan.filled(x, t, history()))
-        frame = series.Frame(full, None, t, history().rowsBetween(1 - int(n) - more, 0), False)
+        so_far = history().rowsBetween(Window.unboundedPreceding, 0)
+        if int(n) + more <= FILL:
+            part = [plan.keep(F.count(F.when(full.isNull(), 1)).over(so_far)), plan.keep(full.isNull())]
+        else:
+            part = [plan.keep(F.count(full).over(so_far) > 0)]
+        frame = series.Frame(full, None, t, Window.partitionBy("ii", *part).orderBy("dti").rowsBetween(1 - int(n) - more, 0), False)
         got = BUILD[name](frame, [float(n), *map(float, rest)])
         return plan.df.withColumn("value", F.when(x.isNotNull(), fin(got))).select(df.columns)
 

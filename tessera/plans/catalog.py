@@ -152,6 +152,21 @@ def _chain_sql(value: str, more: str = "", source: str = "panel") -> str:
 
 _D, _I = "panel WINDOW w AS (PARTITION BY dti)", "panel WINDOW w AS (PARTITION BY ii ORDER BY dti)"
 _U = ", u AS (SELECT dti, ii, univ, g, CASE WHEN univ THEN x END AS x FROM panel)"
+def _trailing_sql(value: str, rows: int) -> str:
+    """``value`` over l, the last rows of the signal, its gaps of up to 60 rows filled, from the first present one on."""
+    ends = ", ".join(f"{f}({v} IGNORE NULLS) OVER (PARTITION BY ii ORDER BY dti ROWS BETWEEN {r}) AS {n}{k}" for v, n in (("x", "x"), ("CASE WHEN x IS NOT NULL THEN t END", "t")) for f, r, k in (("last_value", "UNBOUNDED PRECEDING AND CURRENT ROW", 0), ("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING", 1)))
+    more = f""", base AS (SELECT dti, ii, x, row_number() OVER (PARTITION BY ii ORDER BY dti) AS t FROM panel), ends AS (SELECT *, {ends} FROM base),
+        filled AS (SELECT *, coalesce(x, CASE WHEN t1 - t0 - 1 <= 60 THEN x0 + (x1 - x0) * (t - t0) / (t1 - t0) END) AS fx FROM ends), runs AS (SELECT *, fx IS NULL AS gap, count(*) FILTER (fx IS NULL) OVER (PARTITION BY ii ORDER BY dti ROWS UNBOUNDED PRECEDING) AS run FROM filled),
+        framed AS (SELECT *, list(fx) OVER (PARTITION BY ii, run, gap ORDER BY dti ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW) AS l FROM runs)"""
+    return _chain_sql(f"CASE WHEN x IS NOT NULL THEN {value} END", more, "framed")
+
+
+#: Trailing operations that are the function of that name on filled rows
+_AS_SERIES = {"tsmin": "ts_min", "tsmax": "ts_max", "tssum": "ts_sum", "tsprod": "ts_prod", "tsmean": "ts_mean", "tsstd": "ts_std", "tsmeandev": "ts_mean_dev", "tsrmean": "ts_rmean", "tsargmin": "ts_argmin", "tsargmax": "ts_argmax", "tscorrstep": "ts_corr_step", "tsdecaylinear": "ts_decay_linear", "tsdemean": "ts_demean", "tszscore": "ts_zscore", "tsrank": "ts_rank", "tsema": "ts_ema"}
+_TRAILING = {name: _trailing_sql(SERIES[same][3], 5) for name, same in _AS_SERIES.items()}
+_TRAILING["tscount"] = _trailing_sql(RAW_ONLY["ts_count"][3], 5)
+_TRAILING["tsdemean2"] = _trailing_sql(f"x - (list_sum({_LV}) - x) / nullif(len({_LV}) - 1, 0)", 5)
+_TRAILING["tsdelta"] = _trailing_sql(SERIES["ts_delta"][3], 6)
 _ROOM = """, w AS (SELECT dti, ii, x, CASE WHEN x > 1e-6 THEN x / sum(x) FILTER (x > 1e-6) OVER (PARTITION BY dti) END AS w, y * 0.04 AS b FROM panel),
     c AS (SELECT *, coalesce(w > b, false) AS above, w IS NOT NULL AND NOT coalesce(w > b, false) AS free, coalesce(b - w, 1e300) AS room, coalesce(sum(w - b) FILTER (w > b) OVER (PARTITION BY dti), 0) AS cut FROM w),
     k AS (SELECT *, count(*) OVER (PARTITION BY dti, free) - row_number() OVER (PARTITION BY dti, free ORDER BY room, ii) + 1 AS n FROM c),
@@ -167,7 +182,7 @@ CHAINS = {
     "univ": ("univ", _chain_sql("CASE WHEN univ THEN x END")), "reject": ("reject:g", _chain_sql("CASE WHEN g = 0 THEN x END")), "best": ("best:5", _chain_sql("CASE WHEN row_number() OVER (PARTITION BY dti ORDER BY x DESC NULLS LAST, ii) <= 5 THEN x END")), "upbound": ("upbound:3", None), "hedge": ("hedge:0,50", _chain_sql("CASE WHEN ii = 50 THEN -sum(CASE WHEN ii < 50 THEN greatest(x, 0) END) OVER w WHEN ii < 50 AND x < 0 THEN 0 ELSE x END", "", _D)),
     "hedgeshort": ("hedgeshort:0,50", _chain_sql("CASE WHEN ii = 50 THEN sum(CASE WHEN ii < 50 THEN greatest(-x, 0) END) OVER w WHEN ii < 50 AND x > 0 THEN 0 ELSE x END", "", _D)), "hedgesig": ("hedgesig:3", _chain_sql("x - coalesce(max(CASE WHEN ii = 3 THEN x END) OVER w, 0)", "", _D)), "expdecay": ("expdecay:0.3", None), "sexpdecay": ("sexpdecay:0.3", None), "boundsize": ("boundsize:0.05", None), "neutidx": ("neutidx:y,g", None),
     "bounddvol": ("bounddvol:y,25,1", _chain_sql("CASE WHEN free THEN raised WHEN above THEN b WHEN isfinite(x) THEN 0 END", _ROOM, "r")),
-    **{name: (f"{name}:5" + (",0.3" if name == "tsema" else ""), None) for name in chain.BUILD},
+    **{name: (f"{name}:5" + (",0.3" if name == "tsema" else ""), _TRAILING.get(name)) for name in chain.BUILD},
 }
 
 
