@@ -99,16 +99,18 @@ def whole_groups(batches, names: tuple[str, ...]):
         yield table, np.array([0, table.num_rows])
 
 
-def near_in_cells(batches, cutoff: int):
-    """Task side of bucket_components: for each cell a spanning forest of its pairs within ``cutoff`` bits."""
+def near_in_cells(batches, cutoff):
+    """Task side of bucket_components: for each cell a spanning forest of its pairs within ``cutoff`` bits (a number, or a function of both rows' n)."""
+    limit = cutoff if callable(cutoff) else lambda a, b: cutoff
     for table, at in whole_groups(batches, ("key", "i", "j")):
         ids, own, s1, s2 = (table.column(x).to_numpy() for x in ("id", "_own", "s1", "s2"))
         s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        size = table.column("n").to_numpy() if callable(cutoff) else ids
         left, right = [], []
         length = np.diff(at)
         for m in range(2, SMALL + 1):  # most cells: all of one size at once
             rows = at[:-1][length == m][:, None] + np.arange(m)
-            near = np.bitwise_count(s1[rows][:, :, None] ^ s1[rows][:, None]).astype(np.int16) + np.bitwise_count(s2[rows][:, :, None] ^ s2[rows][:, None]) <= cutoff
+            near = np.bitwise_count(s1[rows][:, :, None] ^ s1[rows][:, None]).astype(np.int16) + np.bitwise_count(s2[rows][:, :, None] ^ s2[rows][:, None]) <= limit(size[rows][:, :, None], size[rows][:, None])
             pair = np.triu(near, 1)
             # a pair that an earlier row is close to both of is connected without its own edge
             part = pair.astype(np.float32)
@@ -116,7 +118,7 @@ def near_in_cells(batches, cutoff: int):
             left.append(ids[rows[cell, x]]), right.append(ids[rows[cell, y]])
         for lo, hi in zip(at[:-1][length > SMALL], at[1:][length > SMALL]):
             a, b = s1[lo:hi], s2[lo:hi]
-            near = np.bitwise_count(a[:, None] ^ a).astype(np.int16) + np.bitwise_count(b[:, None] ^ b) <= cutoff
+            near = np.bitwise_count(a[:, None] ^ a).astype(np.int16) + np.bitwise_count(b[:, None] ^ b) <= limit(size[lo:hi][:, None], size[lo:hi])
             if found := forest(near):
                 x, y = np.array(found).T
                 left.append(ids[lo:hi][x]), right.append(ids[lo:hi][y])
@@ -124,18 +126,22 @@ def near_in_cells(batches, cutoff: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def bucket_edges(rows: DataFrame, cutoff: int) -> DataFrame:
+def bucket_edges(rows: DataFrame, cutoff) -> DataFrame:
     """Edges (a, b) between rows (key long, id long, s1 long, s2 long) that share a key and differ in at most ``cutoff`` bits of s1 and s2.
 
+    ``cutoff`` may be a function of the n (int) of two rows, which ``rows`` then has too.
+
     Each cell gives a spanning forest of its close pairs, so the output is
     linear in the rows while every close pair stays connected.
     """
     size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cells = celled(rows, "key", size, "id").select("key", "i", "j", "_own", "id", "s1", "s2")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = ["n"] if callable(cutoff) else []
+    rows = rows.withColumnRenamed("n", "_n") if more else rows
+    cells = celled(rows, "key", size, "id").select("key", "i", "j", "_own", "id", "s1", "s2", *(F.col("_n").alias(c) for c in more))
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return cells.mapInArrow(lambda it: near_in_cells(it, cutoff), "a long, b long").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def clusters(rows: DataFrame, cutoff: int) -> DataFrame:
+def clusters(rows: DataFrame, cutoff) -> DataFrame:
     """(id, cluster): components of bucket_edges; ids that are close to nothing are left out."""
     return cut(components(bucket_edges(rows, cutoff))).withColumnRenamed("component_id", "cluster")
