@@ -15,8 +15,8 @@ TOOLS = {
     "ask": {"question": ("STRING", True), "turn": ("BIGINT", True)},
     "setup": {"prompt": ("STRING", True), "turn": ("BIGINT", True)},
 }
-#: Longest chain of calls that wait for each other; beyond it they count as a cycle.
-DEEPEST = 64
+#: More than any chain is long: where weights stop growing, as they do only in cycles.
+FAR = 1 << 40
 
 
 def tool_log(conversations: DataFrame) -> DataFrame:
@@ -47,22 +47,34 @@ def problems(tools: dict) -> Column:
 
 
 def levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): the longest chain of ``waits`` (conv_id, call_id, dep) before a call.
+    """(conv_id, call_id, level): the longest chain of ``waits`` (conv_id, call_id, dep) before a call, -1 in or behind a cycle.
 
-    One round of a join and a grouped maximum per link of the longest chain;
-    only a sum reaches the driver.
+    A call's level is the largest of a constant (dep null) and of w + the level
+    of each dep.  In each round, a dep that has at most one dep itself is
+    replaced by what it stands for, so chains halve; of the others, those that
+    wait for no open call close.  A round that closes none leaves only cycles.
     """
-    level = cut(calls.select("conv_id", "call_id", F.lit(0).alias("level")))
-    seen = 0
-    for _ in range(DEEPEST + 1):
-        before = level.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), "level")
-        deeper = waits.join(before, (waits.conv_id == before.c) & (waits.dep == before.d)).groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("level"))
-        level = cut(calls.select("conv_id", "call_id").join(deeper, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("level", F.lit(0)).alias("level")))
-        now = level.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-        if now == seen:
+    known = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"))
+    none = F.lit(None).cast("string")
+    state = cut(calls.select("conv_id", "call_id", none.alias("dep"), F.lit(0).cast("long").alias("w")).unionByName(
+        waits.join(known, (waits.conv_id == known.c) & (waits.dep == known.d)).select("conv_id", "call_id", "dep", F.lit(1).cast("long").alias("w"))
+    ))
+    seen = None
+    while True:
+        opened = state.where("dep is not null")
+        now = opened.agg(F.count_distinct("conv_id", "call_id")).first()[0]
+        if not now or now == seen:
             break
         seen = now
-    return level
+        each = state.groupBy("conv_id", "call_id").agg(F.count("dep").alias("n"), F.max(F.when(F.col("dep").isNull(), F.col("w"))).alias("least"), F.max("dep").alias("to"), F.max(F.when(F.col("dep").isNotNull(), F.col("w"))).alias("far"))
+        single = each.where("n < 2").select(F.col("conv_id").alias("c"), F.col("call_id").alias("d"), "n", "least", "to", "far")
+        moved = opened.join(single, (opened.conv_id == single.c) & (opened.dep == single.d), "left")
+        pair = lambda dep, w: F.struct(dep.alias("dep"), F.least(w, F.lit(FAR)).alias("w"))
+        through = F.when(F.col("n").isNull(), F.array(pair(F.col("dep"), F.col("w")))).when(F.col("n") == 0, F.array(pair(none, F.col("w") + F.col("least"))))
+        through = through.otherwise(F.array(pair(none, F.col("w") + F.col("least")), pair(F.col("to"), F.col("w") + F.col("far"))))
+        moved = moved.select("conv_id", "call_id", F.explode(through).alias("x")).select("conv_id", "call_id", "x.dep", "x.w")
+        state = cut(state.where("dep is null").unionByName(moved).groupBy("conv_id", "call_id", "dep").agg(F.max("w").alias("w")).select("conv_id", "call_id", "dep", "w"))
+    return state.groupBy("conv_id", "call_id").agg(F.when(F.count("dep") > 0, -1).otherwise(F.max("w")).alias("level"))
 
 
 def link_tools(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
@@ -75,8 +87,8 @@ def link_tools(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     share an id the one with the smallest turn is linked, the others are
     ``duplicate``; results without a call are ``orphan``.  (order_level,
     order_turn, order_step, turn) sorts a conversation so that every result
-    follows its call and every call what it waits for; order_level is -1 beyond
-    DEEPEST or in a cycle.  ``json`` has sorted keys and no blanks.  Null
+    follows its call and every call what it waits for; order_level is -1 in
+    or behind a cycle.  ``json`` has sorted keys and no blanks.  Null
     conv_id, turn or id link with nothing.
     """
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -98,5 +110,5 @@ def link_tools(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     out = rows.join(linked, ["conv_id", "call_id"], "left")
     has = F.col("call_turn").isNotNull()
     status = F.when(F.col("kind") == "plain", "plain").when(F.col("kind") == "result", F.when(has, "linked").otherwise("orphan")).when(has & (F.col("turn") > F.col("call_turn")), "duplicate").when(F.col("n_results") > 0, "answered").otherwise("unanswered")
-    level = F.when(F.col("level") > DEEPEST, -1).otherwise(F.coalesce("level", F.lit(0)))
+    level = F.coalesce("level", F.lit(0))
     return out.select("conv_id", "turn", "role", "kind", "call_id", "tool", status.alias("status"), F.coalesce("n_results", F.lit(0)).alias("n_results"), level.cast("int").alias("order_level"), F.coalesce("call_turn", "turn").alias("order_turn"), F.when(F.col("kind") == "result", 1).otherwise(0).alias("order_step"), "errors", "json")
