@@ -25,18 +25,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs, 5, 80).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi")
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Each row goes by its own verdict: rows without doc_id stay, and of rows that repeat one, those whose verdict is ``kept``.
+    """
+    return minhash.near_duplicates(docs, 5, 80, COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the last pass of a source ends inside one document."""
-    plan = cut(mixing.mix(docs).where("taken > 0").select("doc_id", "size", "copies", "part"))
+    """Each document as often as the mix takes it; the last pass of a source ends inside one document.
+
+    Rows are documents of their own, whether or not they have a doc_id or repeat one.
+    """
+    plan = mixing.mix(docs, carry=COLUMNS[1:]).where("taken > 0")
     whole = F.col("copies") + (F.col("part") == F.col("size")).cast("long")
     last = (F.col("part") > 0) & (F.col("part") < F.col("size"))
-    plan = plan.select("doc_id", whole.alias("whole"), (whole + last.cast("long")).alias("n"), "part")
-    rows = docs.select(*COLUMNS).join(plan.hint("merge"), "doc_id").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    plan = plan.select(*COLUMNS, whole.alias("whole"), (whole + last.cast("long")).alias("n"), "part")
+    rows = plan.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     cut_off = F.col("k") > F.col("whole")
     head = F.array_join(F.slice(F.filter(F.split("text", quality.SPACE), lambda w: w != ""), F.lit(1), F.col("part").cast("int")), " ")
     rows = rows.withColumn("text", F.when(cut_off, head).otherwise(F.col("text")))

@@ -41,7 +41,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _features(batches, width: int):
+def _features(batches, width: int, carry: tuple[str, ...] = ()):
     gaps = tv.space_table()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -52,8 +52,8 @@ def _features(batches, width: int):
                 f1 = np.array([np.bitwise_xor.reduce(tv.mix(s)) if len(s) else 0 for s in sets], np.uint64)
                 f2 = np.array([np.add.reduce(tv.mix(s ^ tv.ODD)) if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "sig"],
+                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary()), *(batch.column(k + 2).slice(lo, hi - lo) for k in range(len(carry)))],
+                names=["doc_id", "n_shingles", "f1", "f2", "sig", *carry],
             )
 
 
@@ -116,7 +116,7 @@ def _links(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text; other columns are not read).
 
     Texts link if 100 * intersection >= percent * union of their sets of
@@ -126,9 +126,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     set), so copies cost one row each; rows that repeat a doc_id each give a
     row.  A null doc_id gives null component_id and is kept.  Every candidate
     cluster is checked pair by pair on full sets, in cells of bounded size.
+    The columns ``carry`` of each row come along with its verdict.
     """
     spark = docs.sparkSession
-    made = cut(docs.select("doc_id", "text").mapInArrow(lambda it: _features(it, width), FEATURES))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    # under names of their own, so that they cannot meet the features'
+    held = tuple(f"_carry_{c}" for c in carry)
+    made = cut(docs.select("doc_id", "text", *(F.col(c).alias(h) for c, h in zip(carry, held))).mapInArrow(lambda it: _features(it, width, held), ", ".join([FEATURES, *(f"{h} {kinds[c]}" for c, h in zip(carry, held))])))
     classes = cut(made.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long, s1 long, s2 long")
     member = clusters(keys, SKETCH_BITS)
@@ -141,10 +145,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = cells.mapInArrow(lambda it: _links(it, width, percent), "a long, b long")
     found = cut(components(links))
     named = classes.select("f1", "f2", "n_shingles", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    out = made.select("doc_id", "n_shingles", "f1", "f2").join(named.drop("id"), ["f1", "f2", "n_shingles"], "left")
+    out = made.select("doc_id", "n_shingles", "f1", "f2", *held).join(named.drop("id"), ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id is null").alias("_none")).select(
-        "doc_id", "n_shingles", "component_id", (F.col("_none") | (F.col("doc_id") == F.col("component_id"))).alias("kept")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id is null").alias("_none"), *held).select(
+        "doc_id", "n_shingles", "component_id", (F.col("_none") | (F.col("doc_id") == F.col("component_id"))).alias("kept"), *(F.col(h).alias(c) for c, h in zip(carry, held))
     )
 
 

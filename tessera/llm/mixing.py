@@ -28,7 +28,7 @@ def level(sources: DataFrame, limit: int) -> float:
         rate, capped = (total - given) / free, n
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, part) per row of ``docs`` (doc_id, text, source; others are not read).
 
     Sources in code-point order, null last, get the weights in turn; targets
@@ -37,9 +37,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     words place them, and the source's budget is cut there: ``copies`` whole
     passes, then the first ``part`` words of this row in the last pass.
     Null or blank texts have size 0 and are not taken.  Rows that repeat a
-    doc_id are documents of their own; equal rows are interchangeable.
+    doc_id are documents of their own; equal rows are interchangeable.  The
+    columns ``carry`` of each row come along.
     """
-    made = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("src"))
+    made = docs.select(*(F.col(c).alias(f"_carry_{c}") for c in carry), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("src"))
     made = cut(made.withColumn("rank", F.xxhash64("doc_id", F.lit(seed))).withColumn("part_of", F.pmod(F.shiftright("rank", 32), F.lit(RANGES)).cast("int")))
     sums = cut(made.groupBy("src", "part_of").agg(F.sum("size").alias("held")))
     sources = sums.groupBy("src").agg(F.sum("held").alias("source_size"))
@@ -53,8 +54,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     sources = sources.withColumn("copies", passes).withColumn("rest", budget - F.col("copies") * F.col("source_size"))
     before = F.sum("held").over(Window.partitionBy("src").orderBy("part_of")) - F.col("held")
     starts = sums.withColumn("before", before).join(sources, "src")
-    inside = F.sum("size").over(Window.partitionBy("src", "part_of").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("src", "part_of").orderBy("rank", "doc_id", "size", *(f"_carry_{c}" for c in carry)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     out = made.withColumn("inside", inside).join(starts, ["src", "part_of"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
     out = out.withColumn("part", part.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"), "part")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"), "part", *(F.col(f"_carry_{c}").alias(c) for c in carry))
