@@ -1,7 +1,9 @@
-"""Connected components, and components of a Hamming graph inside buckets."""
+"""Connected components, and close pairs of rows that share a key."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .store import cut, drop, written
 
-#: Most rows of a bucket that one task compares with each other or with another block.
+#: Most rows of a key that one task compares with each other or with another block.
 BLOCK = 512
-#: Cells of up to so many rows are compared together.
-SMALL = 12
+#: Rows and bytes that a task gathers before it compares, and pairs it compares at once.
+ROWS, BYTES, PAIRS = 1 << 16, 1 << 24, 1 << 19
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,106 +44,128 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
 
-def celled(rows: DataFrame, key: str, size: DataFrame, row_id: str, block: int = BLOCK) -> DataFrame:
-    """Deal each key's rows to cells (key, i, j), i <= j: two rows of a key meet in exactly one cell with i < j, or in the cell (i, i).
+def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
+    """Deal each key's rows to cells: ``rows`` with (cell, side), sorted by cell inside its partitions.
 
-    ``size`` has (key, n).  A key of n rows has ceil(n / block) blocks, so a hot
-    key becomes many cells of bounded size instead of one task.
+    A key of n rows has b = ceil(n / block) blocks and a cell for each pair of
+    them, the pair of a block with itself included.  Side 0 marks a block with
+    itself; else the pairs of interest are those of side 1 with side 2.  So two
+    rows of a key meet once, and a hot key becomes many cells of bounded size.
+    Only keys above ``block`` rows are looked up, and they are at most one in
+    ``block`` of the rows.  ``counted`` has the same keys where ``rows`` are
+    costly to make twice.
     """
-    many = F.ceil(F.col("n") / block).cast("int")
+    hot = cut((rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > block))
+    many = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(row_id), many.cast("bigint")).cast("int")
-    out = rows.join(size, key).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), many - 1)))
-    return out.withColumn("i", F.least("_own", "_with")).withColumn("j", F.greatest("_own", "_with")).drop("_with", "n")
-
-
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Bounds of the stretches over which all columns stay equal."""
-    n = len(columns[0])
-    change = np.zeros(n, bool)
-    if n:
-        change[0] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(change), n)
-
-
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what a boolean adjacency matrix connects, at most one per row."""
-    n = len(links)
-    label = np.full(n, -1)
-    out = []
-    for start in range(n):
-        if label[start] >= 0:
-            continue
-        label[start], todo = start, [start]
-        while todo:
-            x = todo.pop()
-            new = np.flatnonzero(links[x] & (label < 0))
-            label[new] = start
-            out += [(x, int(y)) for y in new]
-            todo += new.tolist()
-    return out
-
-
-def whole_groups(batches, names: tuple[str, ...]):
-    """Record batches cut again so that no group of equal ``names`` (the rows are sorted by them) spans two."""
-    held = None
+    out = rows.join(hot, key, "left").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), many - 1)))
+    i, j = F.least("_own", "_with"), F.greatest("_own", "_with")
+    cell = F.when(F.col("_n").isNull(), F.col(key)).otherwise(F.xxhash64(key, i, j))
+    side = F.when(F.col("_own") == F.col("_with"), 0).when(F.col("_own") < F.col("_with"), 1).otherwise(2)
+    out = out.withColumn("cell", cell).withColumn("side", side.cast("tinyint")).drop(key, "_own", "_with", "_n")
+    return out.repartition("cell").sortWithinPartitions("cell")
+
+
+def bounds_of(column: np.ndarray) -> np.ndarray:
+    """Bounds of the stretches over which a column stays equal."""
+    return np.concatenate(([0], np.flatnonzero(column[1:] != column[:-1]) + 1, [len(column)]))
+
+
+def whole_cells(batches):
+    """(table, bounds of its cells) from record batches sorted by cell, gathered to ROWS rows or BYTES bytes and cut so that no cell spans two."""
+    held: list = []
+
+    def joined():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table, bounds_of(table.column("cell").to_numpy())
+
     for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        if not table.num_rows:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < ROWS and sum(b.nbytes for b in held) < BYTES:
+            continue
+        table, at = joined()
+        if len(at) > 2:
+            yield table.slice(0, at[-2]).combine_chunks(), at[:-1]
+        held = table.slice(at[-2]).combine_chunks().to_batches()
+    if held:
+        yield joined()
+
+
+def pairs_of(at: np.ndarray, side: np.ndarray):
+    """(x, y): the row numbers of all pairs to compare inside each cell, some cells at a time."""
+    length = np.diff(at)
+    for m in np.unique(length[length > 1]).tolist():
+        a, b = np.triu_indices(m, 1)
+        first = at[:-1][length == m]
+        step = max(1, PAIRS // len(a))
+        for k in range(0, len(first), step):
+            x, y = ((first[k : k + step, None] + c).ravel() for c in (a, b))
+            two = (side[x] == 0) | (side[x] != side[y])
+            yield (x, y) if two.all() else (x[two], y[two])
+
+
+def merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``label`` (each node's smallest known fellow) once x[k] and y[k] are connected too."""
+    while True:
+        lx, ly = label[x], label[y]
+        apart = lx != ly
+        if not apart.any():
+            return label
+        x, y, lx, ly = x[apart], y[apart], lx[apart], ly[apart]
+        np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
+        up = label[label]
+        while (up != label).any():
+            label, up = up, up[up]
+
+
+def edges_of(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """Edges (a, b) from each id to the smallest one it is connected with; ``ids`` are sorted and distinct."""
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[linked], pa.int64()), pa.array(ids[label[linked]], pa.int64())], names=["a", "b"])
+
+
+def sketches(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of all rows' binary column s, bounds of each row's)."""
+    s = table.column("s").combine_chunks()
+    s = s.chunk(0) if isinstance(s, pa.ChunkedArray) else s
+    _, ends, data = s.buffers()
+    ends = np.frombuffer(ends, np.int32)[s.offset : s.offset + len(s) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64), (ends - ends[0]) // 8
+
+
+def binaries(words: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The opposite of ``sketches``: a binary column of stretches of 64-bit words."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+
+
+def near_in_cells(batches, prepare: Callable):
+    """Task side of near_edges: what close pairs connect among the gathered cells, as at most one edge per id."""
+    for table, at in whole_cells(batches):
+        alone = np.diff(at) < 2
+        if alone.all():
             continue
-        at = runs(*(table.column(x).to_numpy() for x in names))
-        if at[-2]:
-            yield table.slice(0, at[-2]), at[:-1]
-        held = table.slice(at[-2])
-    if held is not None and held.num_rows:
-        table = held.combine_chunks()
-        yield table, np.array([0, table.num_rows])
-
-
-def near_in_cells(batches, cutoff):
-    """Task side of bucket_components: for each cell a spanning forest of its pairs within ``cutoff`` bits (a number, or a function of both rows' n)."""
-    limit = cutoff if callable(cutoff) else lambda a, b: cutoff
-    for table, at in whole_groups(batches, ("key", "i", "j")):
-        ids, own, s1, s2 = (table.column(x).to_numpy() for x in ("id", "_own", "s1", "s2"))
-        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
-        size = table.column("n").to_numpy() if callable(cutoff) else ids
-        left, right = [], []
-        length = np.diff(at)
-        for m in range(2, SMALL + 1):  # most cells: all of one size at once
-            rows = at[:-1][length == m][:, None] + np.arange(m)
-            near = np.bitwise_count(s1[rows][:, :, None] ^ s1[rows][:, None]).astype(np.int16) + np.bitwise_count(s2[rows][:, :, None] ^ s2[rows][:, None]) <= limit(size[rows][:, :, None], size[rows][:, None])
-            pair = np.triu(near, 1)
-            # a pair that an earlier row is close to both of is connected without its own edge
-            part = pair.astype(np.float32)
-            cell, x, y = np.nonzero(pair & (np.swapaxes(part, 1, 2) @ part < 0.5))
-            left.append(ids[rows[cell, x]]), right.append(ids[rows[cell, y]])
-        for lo, hi in zip(at[:-1][length > SMALL], at[1:][length > SMALL]):
-            a, b = s1[lo:hi], s2[lo:hi]
-            near = np.bitwise_count(a[:, None] ^ a).astype(np.int16) + np.bitwise_count(b[:, None] ^ b) <= limit(size[lo:hi][:, None], size[lo:hi])
-            if found := forest(near):
-                x, y = np.array(found).T
-                left.append(ids[lo:hi][x]), right.append(ids[lo:hi][y])
-        a, b = np.concatenate(left), np.concatenate(right)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def bucket_edges(rows: DataFrame, cutoff) -> DataFrame:
-    """Edges (a, b) between rows (key long, id long, s1 long, s2 long) that share a key and differ in at most ``cutoff`` bits of s1 and s2.
-
-    ``cutoff`` may be a function of the n (int) of two rows, which ``rows`` then has too.
-
-    Each cell gives a spanning forest of its close pairs, so the output is
-    linear in the rows while every close pair stays connected.
+        ids, place = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        side, close, label = table.column("side").to_numpy(), prepare(*sketches(table)), np.arange(len(ids))
+        for x, y in pairs_of(at, side):
+            near = close(x, y)
+            label = merged(label, place[x[near]], place[y[near]])
+        yield edges_of(ids, label)
+
+
+def near_edges(rows: DataFrame, prepare: Callable) -> DataFrame:
+    """Edges (a, b) that connect all rows (key long, id long, s binary) that share a key and are close.
+
+    ``prepare`` takes the 64-bit words of the sketches s and each row's bounds
+    in them, and gives a function of two arrays of row numbers: which pairs are
+    close.  Output is linear in the rows, as a task gives what its close pairs
+    connect, not the pairs.
     """
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    more = ["n"] if callable(cutoff) else []
-    rows = rows.withColumnRenamed("n", "_n") if more else rows
-    cells = celled(rows, "key", size, "id").select("key", "i", "j", "_own", "id", "s1", "s2", *(F.col("_n").alias(c) for c in more))
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return cells.mapInArrow(lambda it: near_in_cells(it, cutoff), "a long, b long").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    cells = celled(rows, "key", "id").select("cell", "side", "id", "s")
+    return cells.mapInArrow(lambda it: near_in_cells(it, prepare), "a long, b long").distinct()
 
 
-def clusters(rows: DataFrame, cutoff) -> DataFrame:
-    """(id, cluster): components of bucket_edges; ids that are close to nothing are left out."""
-    return cut(components(bucket_edges(rows, cutoff))).withColumnRenamed("component_id", "cluster")
+def clusters(rows: DataFrame, prepare: Callable) -> DataFrame:
+    """(id, cluster): components of near_edges; ids that are close to nothing are left out."""
+    return cut(components(near_edges(rows, prepare))).withColumnRenamed("component_id", "cluster")

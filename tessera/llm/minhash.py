@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .graph import BLOCK, celled, clusters, components, forest, whole_groups
-from .store import cut
+from .graph import BLOCK, binaries, celled, clusters, components, edges_of, merged, sketches, whole_cells
+from .store import cut, drop, written
 
-COMPONENTS, CHUNK_OF, SKETCH_BITS = 48, 6, 12
-FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
+#: Components of a signature, of a chunk, and those that may differ.
+COMPONENTS, CHUNK_OF, ERRORS = 48, 6, 15
+FEATURES = "doc_id long, t long, n_shingles long, f1 long, f2 long, sig binary"
 
 
 def _seeds() -> np.ndarray:
@@ -41,30 +42,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def digest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    with np.errstate(over="ignore"):
+        f1 = np.array([np.bitwise_xor.reduce(tv.mix(s)) if len(s) else 0 for s in sets], np.uint64)
+        f2 = np.array([np.add.reduce(tv.mix(s ^ tv.ODD)) if len(s) else 0 for s in sets], np.uint64)
+    return f1.view(np.int64), f2.view(np.int64)
+
+
 def _features(batches, width: int, carry: tuple[str, ...] = ()):
     gaps = tv.space_table()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for lo, hi in tv.chunks(texts):
             sets = tv.shingles(*tv.hash_words(texts[lo:hi], gaps), width)
-            sig = signatures(sets)
-            with np.errstate(over="ignore"):
-                f1 = np.array([np.bitwise_xor.reduce(tv.mix(s)) if len(s) else 0 for s in sets], np.uint64)
-                f2 = np.array([np.add.reduce(tv.mix(s ^ tv.ODD)) if len(s) else 0 for s in sets], np.uint64)
+            own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, *range(3, 3 + len(carry)))]
+            f1, f2 = digest(sets)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary()), *(batch.column(k + 2).slice(lo, hi - lo) for k in range(len(carry)))],
-                names=["doc_id", "n_shingles", "f1", "f2", "sig", *carry],
+                [*own[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in signatures(sets)], pa.binary()), *own[2:]],
+                names=["doc_id", "t", "n_shingles", "f1", "f2", "sig", *carry],
             )
 
 
 def _keys(batches):
-    odd = _seeds()
+    """48 keys of each signature, and two bits of each component in two words."""
+    odd, at = _seeds(), np.arange(COMPONENTS, dtype=np.uint64)
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(n, COMPONENTS).astype(np.uint64)
-        bits = ((sig & np.uint64(1)) << np.arange(COMPONENTS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        bits = np.stack([((sig >> np.uint64(k) & np.uint64(1)) << at).sum(1, dtype=np.uint64) for k in (0, 1)], 1)
         keys = np.empty((n, COMPONENTS), np.uint64)
         with np.errstate(over="ignore"):
             term = tv.mix(sig + odd * np.uint64(3)) * odd
@@ -72,7 +80,13 @@ def _keys(batches):
                 lo = k - k % CHUNK_OF
                 keys[:, k] = tv.mix(term[:, lo : lo + CHUNK_OF].sum(1, dtype=np.uint64) - term[:, k] + np.uint64(k))
         ids = np.repeat(batch.column(0).to_numpy(), COMPONENTS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(np.repeat(bits, COMPONENTS).view(np.int64)), pa.array(np.zeros(n * COMPONENTS, np.int64))], names=["key", "id", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), binaries(np.repeat(bits, COMPONENTS, 0).ravel(), np.arange(len(ids) + 1) * 2)], names=["key", "id", "s"])
+
+
+def components_apart(words: np.ndarray, at: np.ndarray):
+    """For near_edges: whether at most ERRORS components are seen to differ, which holds for all pairs with at most so many that do."""
+    s = words.reshape(-1, 2)
+    return lambda x, y: np.bitwise_count((s[x, 0] ^ s[y, 0]) | (s[x, 1] ^ s[y, 1])) <= ERRORS
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -97,23 +111,30 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(batches, width: int, percent: int):
+def _sets(batches, width: int):
+    """(id, cluster, s): the shingles of texts whose set has the digest (f1, f2)."""
     gaps = tv.space_table()
-    for table, at in whole_groups(batches, ("key", "i", "j")):
-        ids, texts = table.column("id").to_numpy(), table.column("text").to_pylist()
-        left, right = [], []
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for lo, hi in tv.chunks(texts):
+            sets = tv.shingles(*tv.hash_words(texts[lo:hi], gaps), width)
+            at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), binaries(np.concatenate(sets), at)], names=["id", "cluster", "s"])
+
+
+def _links(batches, percent: int):
+    for table, at in whole_cells(batches):
+        ids, place = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        side, (words, set_at), label = table.column("side").to_numpy(), sketches(table), np.arange(len(ids))
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
             if hi - lo < 2:
                 continue
-            sets = []
-            for a, b in tv.chunks(texts[lo:hi]):
-                sets += tv.shingles(*tv.hash_words(texts[lo + a : lo + b], gaps), width)
-            both, size = overlaps(sets), np.array([len(s) for s in sets])
-            links = 100 * both >= percent * (size[:, None] + size - both)
-            np.fill_diagonal(links, False)
-            for x, y in forest(links):
-                left.append(ids[lo + x]), right.append(ids[lo + y])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            sets = [words[a:b] for a, b in zip(set_at[lo:hi], set_at[lo + 1 : hi + 1])]
+            both, size, own = overlaps(sets), np.array([len(s) for s in sets]), side[lo:hi]
+            links = (100 * both >= percent * (size[:, None] + size - both)) & ((own == 0) | (own[:, None] != own))
+            x, y = np.nonzero(np.triu(links, 1))
+            label = merged(label, place[lo + x], place[lo + y])
+        yield edges_of(ids, label)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -124,33 +145,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     A-Z lower-cased; a shorter text is one shingle; null, empty or blank texts
     link with nothing.  Equal sets form one class (a 128-bit digest of the
     set), so copies cost one row each; rows that repeat a doc_id each give a
-    row.  A null doc_id gives null component_id and is kept.  Every candidate
-    cluster is checked pair by pair on full sets, in cells of bounded size.
-    The columns ``carry`` of each row come along with its verdict.
+    row and link by their own text.  A null doc_id gives null component_id and
+    is kept.  Every candidate cluster is checked pair by pair on full sets, in
+    cells of bounded size.  The columns ``carry`` of each row come along with
+    its verdict.
     """
     spark = docs.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     # under names of their own, so that they cannot meet the features'
     held = tuple(f"_carry_{c}" for c in carry)
-    made = cut(docs.select("doc_id", "text", *(F.col(c).alias(h) for c, h in zip(carry, held))).mapInArrow(lambda it: _features(it, width, held), ", ".join([FEATURES, *(f"{h} {kinds[c]}" for c, h in zip(carry, held))])))
-    classes = cut(made.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long, s1 long, s2 long")
-    member = clusters(keys, SKETCH_BITS)
-    size = member.groupBy(F.col("cluster").alias("key")).agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(member, "id")
-    # a doc_id that repeats with other texts would bring several; the class has one of them
-    texts = texts.groupBy("id", "cluster").agg(F.max("text").alias("text")) if docs_repeat(made) else texts
-    cells = celled(texts.withColumnRenamed("cluster", "key"), "key", size, "id", BLOCK // 4)
-    cells = cells.select("key", "i", "j", "id", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = cells.mapInArrow(lambda it: _links(it, width, percent), "a long, b long")
-    found = cut(components(links))
-    named = classes.select("f1", "f2", "n_shingles", "id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    out = made.select("doc_id", "n_shingles", "f1", "f2", *held).join(named.drop("id"), ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id is null").alias("_none"), *held).select(
-        "doc_id", "n_shingles", "component_id", (F.col("_none") | (F.col("doc_id") == F.col("component_id"))).alias("kept"), *(F.col(h).alias(c) for c, h in zip(carry, held))
-    )
-
-
-def docs_repeat(made: DataFrame) -> bool:
-    return bool(made.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count())
+    digest_of = F.xxhash64("text").alias("t")
+    made = cut(docs.select("doc_id", digest_of, "text", *(F.col(c).alias(h) for c, h in zip(carry, held))).mapInArrow(lambda it: _features(it, width, held), ", ".join([FEATURES, *(f"{h} {kinds[c]}" for c, h in zip(carry, held))])))
+    classes = made.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("sig").alias("sig"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    member = clusters(classes.select("id", "sig").mapInArrow(_keys, "key long, id long, s binary"), components_apart)
+    # one text of each class in a cluster; rows that repeat both doc_id and text bring it again
+    wanted = classes.select("id", "first.*").join(member, "id")
+    texts = docs.select("doc_id", digest_of, "text").join(wanted, ["doc_id", "t"]).select("id", "cluster", "text")
+    sets, sets_path = written(texts.mapInArrow(lambda it: _sets(it, width), "id long, cluster long, s binary").groupBy("id", "cluster").agg(F.first("s").alias("s")))
+    cells = celled(sets, "cluster", "id", BLOCK // 4, member).select("cell", "side", "id", "s")
+    found = cut(components(cells.mapInArrow(lambda it: _links(it, percent), "a long, b long")))
+    drop(spark, sets_path)
+    linked = classes.select("id", "f1", "f2", "n_shingles", F.col("first.doc_id").alias("doc")).join(found, "id")
+    least = linked.groupBy("component_id").agg(F.min("doc").alias("least"))
+    linked = cut(linked.join(least, "component_id").select("f1", "f2", "n_shingles", "least"))
+    alone = classes.join(found, "id", "left_anti").select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("least"))
+    out = made.select("doc_id", "n_shingles", "f1", "f2", *held).join(linked.unionByName(alone), ["f1", "f2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == component))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(F.col(h).alias(c) for c, h in zip(carry, held)))

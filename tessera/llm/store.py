@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local temporary folder only where the session names none (tests)."""
+    """The cluster's ``spark.checkpoint.dir``.  Where the session names none, a temporary folder if it runs in one process (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,7 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a table that no later plan reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that no later plan reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

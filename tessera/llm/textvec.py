@@ -62,17 +62,24 @@ def hash_words(texts: list, gaps: np.ndarray, lower: bool = True, begin: int = 0
 
     With ``begin``, a third array has the hashes of the words' first ``begin`` bytes.
     """
+    data, starts_of = joined(texts)
+    return hash_stretches(lower_table()[data] if lower else data, starts_of, gaps, begin)
+
+
+def joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes of all texts, each with a line end after it, and where each starts)."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    starts_of = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-    if lower:
-        data = lower_table()[data]
+    return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8), np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+
+
+def hash_stretches(data: np.ndarray, starts_of: np.ndarray, gaps: np.ndarray, begin: int = 0) -> tuple[np.ndarray, ...]:
+    """hash_words of bytes: the stretches between ``starts_of``, each ending in a gap."""
     inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     start = np.flatnonzero(first)
     if not len(start):
-        none = np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.empty(0, np.uint64), np.zeros(len(starts_of), np.int64)
         return (*none, none[0]) if begin else none
     at = np.flatnonzero(inside)
     word = np.cumsum(first)[at] - 1

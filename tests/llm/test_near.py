@@ -114,3 +114,40 @@ def test_vector_edges(spark):
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 12, 13)]
     assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (11, 2, 1, False), (None, 0, None, True), *alone], key=str)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_of_other_content(spark):
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "pq")
+    near = two[:30] + ["other"] + two[31:]
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (8, " ".join(near)), (9, " ".join(one))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates(docs, 3, 85).collect())
+    assert got == [(7, 58, 7, True), (7, 58, 7, True), (8, 58, 7, False), (9, 58, 7, False)]
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, x, 1), (5, y, 2), (5, z, 1), (9, [1.0, 0.01, 0.0], 1), (4, y, 3)]
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(4, 0, 4, True), (5, 0, 5, True), (5, 0, 5, True), (5, 1, 5, True), (9, 1, 5, False)]
+
+
+def test_sketch_keeps_all_pairs_within_the_errors():
+    from tessera.llm import minhash
+
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 16, minhash.COMPONENTS)
+    sigs = [a]
+    for _ in range(200):
+        b = a.copy()
+        b[rng.choice(minhash.COMPONENTS, minhash.ERRORS, replace=False)] ^= rng.integers(1, 1 << 16, minhash.ERRORS)
+        sigs.append(b)
+    import pyarrow as pa
+
+    raw = pa.array([s.astype(np.uint16).tobytes() for s in sigs], pa.binary())
+    (out,) = minhash._keys([pa.RecordBatch.from_arrays([pa.array(np.arange(len(sigs))), raw], names=["id", "sig"])])
+    keys, ids = out.column(0).to_numpy(), out.column(1).to_numpy()
+    first = set(keys[ids == 0].tolist())
+    assert all(first & set(keys[ids == i].tolist()) for i in range(1, len(sigs)))
+    from tessera.llm.graph import sketches
+
+    close = minhash.components_apart(*sketches(pa.Table.from_batches([out])))
+    row = np.array([np.flatnonzero(ids == i)[0] for i in range(len(sigs))])
+    assert close(np.zeros(len(sigs), int), row).all()
