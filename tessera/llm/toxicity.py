@@ -11,8 +11,13 @@ from . import textvec as tv
 from .store import cut
 
 #: Labelled rows fitted at most (those with the smallest hash of doc_id), hash slots, factors, the share of toxic texts a term needs,
-#: and the bytes of a term that count as its beginning (inflected and compound words share it).
-SAMPLE, SLOT_BITS, FACTORS, LEAST_SHARE, STEM, FREQUENT = 6000, 32, 2, 0.01, 5, 1000
+#: the bytes of a term that count as its beginning (inflected and compound words share it), the common terms that pairs may be sought
+#: among, and the size of a factor below which such a term has none.
+SAMPLE, SLOT_BITS, FACTORS, LEAST_SHARE, STEM, FREQUENT, NOISE = 6000, 32, 2, 0.01, 5, 1000, 0.1
+#: Square penalties of the factors of terms with linear evidence and of others, over the root of the rows.
+OWN, RARE = 0.1, 1.5
+#: Rounds in which weights and factors are trained in turn.
+SWEEPS = 2
 
 
 def terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +48,8 @@ def raw_scores(at: np.ndarray, bounds: np.ndarray, bias: float, w: np.ndarray, v
     return bias + _sums(w[at], bounds) + 0.5 * both.sum(1)
 
 
-def linear(slot: np.ndarray, bounds: np.ndarray, n_terms: int, y: np.ndarray, chance: float, rounds: int) -> tuple[float, np.ndarray]:
-    """(bias, weights) by accelerated proximal gradients on standardised terms.
+def linear(slot: np.ndarray, bounds: np.ndarray, n_terms: int, y: np.ndarray, chance: float, rounds: int, pairs: np.ndarray | float = 0.0) -> tuple[float, np.ndarray]:
+    """(bias, weights) beside what ``pairs`` give each text, by accelerated proximal gradients on standardised terms.
 
     The penalty is ``chance`` times the spread of a gradient of a term without
     meaning, so terms compete by evidence.
@@ -63,7 +68,7 @@ def linear(slot: np.ndarray, bounds: np.ndarray, n_terms: int, y: np.ndarray, ch
     curve = 0.3 * np.linalg.norm(x) + 0.25
     bias, w, z, t = np.log(rate / (1 - rate)), np.zeros(n_terms), np.zeros(n_terms), 1.0
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(bias + ahead(z)).clip(-30, 30))) - y
+        error = 1 / (1 + np.exp(-(bias + ahead(z) + pairs).clip(-30, 30))) - y
         bias -= error.mean() / curve
         to = z - back(error) / curve
         new = np.sign(to) * np.maximum(np.abs(to) - lasso / curve, 0)
@@ -72,11 +77,10 @@ def linear(slot: np.ndarray, bounds: np.ndarray, n_terms: int, y: np.ndarray, ch
     return bias - (mean / spread * w).sum(), w / spread
 
 
-def factors(slot: np.ndarray, bounds: np.ndarray, start: np.ndarray, n_terms: int, y: np.ndarray, rounds: int = 50, rate: float = 0.08) -> np.ndarray:
-    """Factors that explain by pairs of terms what the linear part ``start`` leaves, by Adam under a square penalty."""
-    owner = np.repeat(np.arange(len(y)), np.diff(bounds))
-    v = np.random.default_rng(5).normal(0, 0.01, (n_terms, FACTORS))
-    m, s, ridge = np.zeros_like(v), np.zeros_like(v), 1.5 / np.sqrt(len(y))
+def factors(slot: np.ndarray, bounds: np.ndarray, start: np.ndarray, v: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int = 50, rate: float = 0.08) -> np.ndarray:
+    """Factors, from ``v`` on, that explain by pairs of terms what the linear part ``start`` leaves, by Adam under each term's square penalty."""
+    owner, n_terms = np.repeat(np.arange(len(y)), np.diff(bounds)), len(v)
+    m, s, ridge = np.zeros_like(v), np.zeros_like(v), ridge[:, None] / np.sqrt(len(y))
     for t in range(1, rounds + 1):
         own = v[slot]
         total = _sums(own, bounds)
@@ -88,36 +92,55 @@ def factors(slot: np.ndarray, bounds: np.ndarray, start: np.ndarray, n_terms: in
     return v
 
 
+def machine(slot: np.ndarray, bounds: np.ndarray, n_terms: int, y: np.ndarray, common: bool):
+    """(bias, terms, weights, factors), weights and factors trained in turn.
+
+    The terms are those with linear evidence and, if ``common``, the FREQUENT
+    most common ones whose factors are above NOISE.  The first linear part is
+    the shrunken one, so that factors take what it leaves before the weights
+    come to their full size beside them.
+    """
+    bias, w = linear(slot, bounds, n_terms, y, 3.0, 40)
+    found = np.flatnonzero(w)
+    keep = np.zeros(n_terms, bool)
+    keep[found] = True
+    if common:
+        keep[np.argsort(-np.bincount(slot, minlength=n_terms), kind="stable")[:FREQUENT]] = True
+    # terms with evidence of their own start with larger factors and may keep them
+    ridge = np.where(w != 0, OWN, RARE)
+    v = np.random.default_rng(5).normal(0, 1, (n_terms, FACTORS)) * np.where(w != 0, 0.1, 0.01)[:, None]
+    linear_places = among(slot, bounds, found)
+    for _ in range(SWEEPS):
+        places = among(slot, bounds, np.flatnonzero(keep))
+        v[keep] = factors(*places, bias + _sums(w[slot], bounds), v[keep], y, ridge[keep])
+        # on long texts the noise of many terms would add up
+        keep &= (w != 0) | (np.abs(v).max(1) >= NOISE)
+        v[~keep] = 0
+        keep[found] = True
+        bias, w[found] = linear(*linear_places, len(found), y, 0.2, 200, raw_scores(slot, bounds, 0.0, np.zeros(n_terms), v))
+    keep = np.flatnonzero((w != 0) | (np.abs(v).max(1) > 0))
+    return float(bias), keep, w[keep], v[keep]
+
+
 def fit(slot: np.ndarray, bounds: np.ndarray, known: np.ndarray, y: np.ndarray):
     """(bias, slots, linear weights, factors) from each text's places among the ``known`` slots.
 
-    Pairs are learned among the terms with a linear weight and the FREQUENT most
-    common ones.
+    A machine trained without every fifth row tells by its loss there whether
+    pairs are sought among common terms, too.
     """
-    _, w = linear(slot, bounds, len(known), y, 3.0, 40)
-    found = np.flatnonzero(w)
-    picked = among(slot, bounds, found)
-    bias, w[found] = linear(*picked, len(found), y, 0.2, 200)  # the survivors take their full weight
-    start = bias + _sums(w[slot], bounds)
-    alive = w != 0
-    alive[np.argsort(-np.bincount(slot, minlength=len(known)), kind="stable")[:FREQUENT]] = True
-    slot, bounds = among(slot, bounds, np.flatnonzero(alive))
-    v = factors(slot, bounds, start, int(alive.sum()), y)
-    # learned again without every fifth row: pairs stay as far as they lower the loss there
-    owner = np.repeat(np.arange(len(y)), np.diff(bounds))
-    out = np.arange(len(y)) % 5 == 0
-    rest = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(y))[~out])))
-    trial = factors(slot[~out[owner]], rest, start[~out], int(alive.sum()), y[~out]) if (~out).any() else v
-
-    def loss(part):
-        raw = raw_scores(slot, bounds, 0.0, np.zeros(len(part)), part) + start
-        return np.logaddexp(0, np.where(y > 0, -raw, raw))[out].mean()
-
-    v = v * min((0.0, 0.3, 0.6, 1.0), key=lambda c: loss(trial * c))
-    # what is left of a shrunk slot is noise of the sample; on long texts many of them would add up
-    v[np.abs(v).max(1, initial=0) < 0.1] = 0
-    strong = (w[alive] != 0) | v.any(1)
-    return float(bias), known[alive][strong], w[alive][strong], v[strong]
+    owner, out = np.repeat(np.arange(len(y)), np.diff(bounds)), np.arange(len(y)) % 5 == 0
+
+    def part(rows):
+        return slot[rows[owner]], np.concatenate(([0], np.cumsum(np.diff(bounds)[rows])))
+
+    def loss(common):
+        bias, keep, w, v = machine(*part(~out), len(known), y[~out], common)
+        raw = raw_scores(*among(*part(out), keep), bias, w, v)
+        return np.logaddexp(0, np.where(y[out] > 0, -raw, raw)).mean()
+
+    common = bool((~out).any()) and loss(True) < loss(False)
+    bias, keep, w, v = machine(slot, bounds, len(known), y, common)
+    return bias, known[keep], w, v
 
 
 def _scored(batches, model):
@@ -153,7 +176,9 @@ def toxicity(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     toxic ones hold and each row's places among these, not the texts.  Rows with
     a null label or text are not learned from.  Every whole text is scored; a
     null or empty one scores the bias.  With nothing to learn, all score one
-    half.
+    half.  Rows are scored one by one, whether their doc_id is null or repeated;
+    of labelled rows with equal hashes, the smaller doc_id and label come first,
+    and a doc_id that ``labelled`` repeats is learned from as often.
     """
     rows = labelled.where("toxic is not null and text is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     rows = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample))
