@@ -28,25 +28,33 @@ def level(sources: DataFrame, limit: int) -> float:
         rate, capped = (total - given) / free, n
 
 
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with place, their number from 0 in the order of the distinct ``key``: ranges, then rows inside each."""
+    rows = cut(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    # one row per range
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return rows.withColumn("place", inside).join(starts, "_range").withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_n", "_before")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, part) per row of ``docs`` (doc_id, text, source; others are not read).
 
     Sources in code-point order, null last, get the weights in turn; targets
     share all words by weight, at most ``limit`` times a source's size each.
-    Within a source, rows are sorted by a hash of doc_id; prefix sums of their
+    Within a source, rows are sorted by a hash of doc_id and text; prefix sums of their
     words place them, and the source's budget is cut there: ``copies`` whole
     passes, then the first ``part`` words of this row in the last pass.
     Null or blank texts have size 0 and are not taken.  Rows that repeat a
     doc_id are documents of their own; equal rows are interchangeable.  The
     columns ``carry`` of each row come along.
     """
-    made = docs.select(*(F.col(c).alias(f"_carry_{c}") for c in carry), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("src"))
-    made = cut(made.withColumn("rank", F.xxhash64("doc_id", F.lit(seed))).withColumn("part_of", F.pmod(F.shiftright("rank", 32), F.lit(RANGES)).cast("int")))
+    made = docs.select(*(F.col(c).alias(f"_carry_{c}") for c in carry), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("src"), F.xxhash64("text").alias("_text"))
+    made = cut(made.withColumn("rank", F.xxhash64("doc_id", "_text", F.lit(seed))).withColumn("part_of", F.pmod(F.shiftright("rank", 32), F.lit(RANGES)).cast("int")).drop("_text"))
     sums = cut(made.groupBy("src", "part_of").agg(F.sum("size").alias("held")))
     sources = sums.groupBy("src").agg(F.sum("held").alias("source_size"))
-    # one row per source: a dimension, ranked whole
-    turn = F.pmod(F.row_number().over(Window.orderBy("src")) - 1, F.lit(len(weights)))
-    sources = cut(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")))
+    turn = F.pmod(F.col("place"), F.lit(len(weights)))
+    sources = cut(placed(sources, "src").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")))
     rate = level(sources, limit)
     sources = sources.withColumn("target", F.least(F.col("weight") * F.lit(rate), F.col("source_size").cast("double") * limit))
     budget = F.round("target").cast("long")
