@@ -84,15 +84,16 @@ def link_tools(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     ``arguments``, optional ``after``: ids to wait for); a tool text that is a JSON
     object with ``id`` is a result; all else, null texts and broken JSON too, is
     plain.  Calls and results are hash-joined by (conv_id, id).  Of calls that
-    share an id the one with the smallest turn is linked, the others are
-    ``duplicate``; results without a call are ``orphan``.  (order_level,
+    share an id the one with the smallest turn is linked (of one turn, the one
+    with the smallest ``after``, though all of that turn count as the call), the
+    others are ``duplicate``; results without a call are ``orphan``.  (order_level,
     order_turn, order_step, turn) sorts a conversation so that every result
     follows its call and every call what it waits for; order_level is -1 in
     or behind a cycle.  ``json`` has sorted keys and no blanks.  Null
     conv_id, turn or id link with nothing.
     """
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    parsed = F.when(F.col("role").isin("assistant", "tool") & F.col("text").startswith("{"), F.try_parse_json("text"))
+    parsed = F.when(F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^\s*\{"), F.try_parse_json("text"))
     rows = rows.withColumn("v", parsed)
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
     rows = rows.withColumn("kind", F.when((F.col("role") == "assistant") & get("$.tool").isNotNull(), "call").when((F.col("role") == "tool") & get("$.id").isNotNull(), "result").otherwise("plain"))
@@ -103,7 +104,7 @@ def link_tools(messages: DataFrame, tools: dict = TOOLS) -> DataFrame:
     body = F.struct(F.when(F.col("kind") == "call", F.col("args")).alias("arguments"), content.alias("content"), "call_id", "role", F.when(F.col("kind") == "plain", F.col("text")).alias("text"), "tool", "turn")
     rows = cut(rows.withColumn("json", F.to_json(F.try_parse_json(F.to_json(body)))).withColumn("after", F.when(F.col("kind") == "call", get("$.after", "array<string>"))).drop("v", "args", "args_text", "text"))
     known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & F.col("turn").isNotNull()
-    calls = cut(rows.where((F.col("kind") == "call") & known).groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"), F.min_by("after", "turn").alias("after")))
+    calls = cut(rows.where((F.col("kind") == "call") & known).groupBy("conv_id", "call_id").agg(F.min(F.struct(F.col("turn").alias("call_turn"), "after")).alias("x")).select("conv_id", "call_id", "x.*"))
     answers = rows.where((F.col("kind") == "result") & known).groupBy("conv_id", "call_id").agg(F.count("*").alias("n_results"))
     waits = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep")).where("dep <> call_id")
     linked = calls.select("conv_id", "call_id", "call_turn").join(levels(calls, waits), ["conv_id", "call_id"]).join(answers, ["conv_id", "call_id"], "left")
