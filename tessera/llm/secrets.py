@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from re import _parser as syntax
 
@@ -26,15 +25,20 @@ BASE = 3
 SPELLINGS = 16
 
 
+def _fold(code: int) -> str:
+    """A character as the texts' bytes are folded: A-Z to lower case."""
+    return chr(code + 32) if 0x41 <= code <= 0x5A else chr(code)
+
+
 def _spell(node, most: int = SPELLINGS) -> set[str] | None:
     """All lower-case strings that a parsed pattern can match, or None."""
     out = {""}
     for op, arg in node:
         name = str(op)
         if name == "LITERAL":
-            more = {chr(arg).lower()}
+            more = {_fold(arg)}
         elif name == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
-            more = {chr(v).lower() for _, v in arg}
+            more = {_fold(v) for _, v in arg}
         elif name == "SUBPATTERN":
             more = _spell(arg[3])
         elif name == "BRANCH":
@@ -147,12 +151,3 @@ def digests(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     own = F.filter("spans", lambda s: s["kind"].isin(base))
     return scan(docs, rules).select("doc_id", *counts, F.sha2(line(own), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
-
-def redacted(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` with each span replaced, for callers that rewrite."""
-    out, at = [], 0
-    for a, b in spans:
-        if a >= at:
-            out += [text[at:a], f"[{hashlib.sha256(text[a:b].encode()).hexdigest()[:8]}]"]
-        at = max(at, b)
-    return "".join([*out, text[at:]])
