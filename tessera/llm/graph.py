@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, drop, written
+from .store import cut, drop, release, written
 
 #: Most rows of a key that one task compares with each other or with another block.
 BLOCK = 512
 #: Rows and bytes that a task gathers before it compares, and pairs it compares at once.
-ROWS, BYTES, PAIRS = 1 << 16, 1 << 24, 1 << 19
+ROWS, BYTES, PAIRS = 1 << 18, 1 << 25, 1 << 18
+#: One in so many ids tells how large a key is, which only decides how many cells it is dealt to.
+TOLD = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,8 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     now, path = written(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct())
-    mark = None
-    while True:
+    del edges
+    release(spark)
+    while not _stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -37,13 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
         after, new = written(small)
         drop(spark, path)
         now, path = after, new
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node a has one edge and is no edge's b: then b is the smallest of its component."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").isEmpty()
+
+
 def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
     """Deal each key's rows to cells: ``rows`` with (cell, side), sorted by cell inside its partitions.
 
@@ -51,11 +56,14 @@ def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted:
     them, the pair of a block with itself included.  Side 0 marks a block with
     itself; else the pairs of interest are those of side 1 with side 2.  So two
     rows of a key meet once, and a hot key becomes many cells of bounded size.
-    Only keys above ``block`` rows are looked up, and they are at most one in
-    ``block`` of the rows.  ``counted`` has the same keys where ``rows`` are
-    costly to make twice.
+    How large a key is, is told from one in TOLD ids: a cell may come out a
+    little larger or smaller.  ``counted`` has the same keys where ``rows`` are
+    costly to make twice.  A row that no key matches keeps the plan the same
+    whether or not there are hot keys.
     """
-    hot = cut((rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > block))
+    some = (rows if counted is None else counted).where(F.pmod(F.xxhash64(row_id, F.lit(TOLD)), F.lit(TOLD)) == 0)
+    hot = some.groupBy(key).agg((F.count("*") * TOLD).alias("_n")).where(F.col("_n") > block)
+    hot = cut(hot.unionByName(rows.sparkSession.range(1).select(F.lit(None).cast("long").alias(key), F.lit(0).cast("long").alias("_n"))))
     many = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(row_id), many.cast("bigint")).cast("int")
     out = rows.join(hot, key, "left").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), many - 1)))
@@ -95,15 +103,17 @@ def whole_cells(batches):
 
 def pairs_of(at: np.ndarray, side: np.ndarray):
     """(x, y): the row numbers of all pairs to compare inside each cell, some cells at a time."""
-    length = np.diff(at)
+    length, mixed = np.diff(at), side.any()
     for m in np.unique(length[length > 1]).tolist():
         a, b = np.triu_indices(m, 1)
         first = at[:-1][length == m]
         step = max(1, PAIRS // len(a))
         for k in range(0, len(first), step):
             x, y = ((first[k : k + step, None] + c).ravel() for c in (a, b))
-            two = (side[x] == 0) | (side[x] != side[y])
-            yield (x, y) if two.all() else (x[two], y[two])
+            if mixed:
+                two = (side[x] == 0) | (side[x] != side[y])
+                x, y = x[two], y[two]
+            yield x, y
 
 
 def merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -143,9 +153,12 @@ def binaries(words: np.ndarray, at: np.ndarray) -> pa.Array:
 def near_in_cells(batches, prepare: Callable):
     """Task side of near_edges: what close pairs connect among the gathered cells, as at most one edge per id."""
     for table, at in whole_cells(batches):
-        alone = np.diff(at) < 2
-        if alone.all():
+        length = np.diff(at)
+        if not (length > 1).any():
             continue
+        if (length == 1).any():
+            table = table.filter(pa.array(np.repeat(length > 1, length)))
+            at = np.concatenate(([0], np.cumsum(length[length > 1])))
         ids, place = np.unique(table.column("id").to_numpy(), return_inverse=True)
         side, close, label = table.column("side").to_numpy(), prepare(*sketches(table)), np.arange(len(ids))
         for x, y in pairs_of(at, side):
@@ -163,7 +176,7 @@ def near_edges(rows: DataFrame, prepare: Callable) -> DataFrame:
     connect, not the pairs.
     """
     cells = celled(rows, "key", "id").select("cell", "side", "id", "s")
-    return cells.mapInArrow(lambda it: near_in_cells(it, prepare), "a long, b long").distinct()
+    return cells.mapInArrow(lambda it: near_in_cells(it, prepare), "a long, b long")
 
 
 def clusters(rows: DataFrame, prepare: Callable) -> DataFrame:

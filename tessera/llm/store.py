@@ -24,7 +24,8 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # most columns are hashes, which no dictionary makes smaller
+    df.write.option("compression", "lz4_raw").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -37,3 +38,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's collector run, after which Spark removes the shuffle files that no plan refers to any more."""
+    spark._jvm.System.gc()
