@@ -1,4 +1,4 @@
-"""Functions across the instruments of a date, or of a date and group: (x, scalars, keys) -> column.
+"""Functions across the instruments of a date, or of a date and group: (x, scalars, keys, keep) -> column.
 
 ``x`` is NULL where the cell is masked or not finite.  ``keys`` are the window's
 partition columns.  A date holds a bounded universe of instruments, and the
@@ -18,51 +18,61 @@ def _stats(x: Column, keys: list) -> tuple[Column, Column]:
     return F.avg(x).over(w), F.stddev_pop(x).over(w)
 
 
-def demean(x, s, keys):
+def demean(x, s, keys, keep=None):
     return x - _stats(x, keys)[0]
 
 
-def zscore(x, s, keys):
+def zscore(x, s, keys, keep=None):
     mean, std = _stats(x, keys)
     return F.when(std > 0, (x - mean) / F.when(std > 0, std))
 
 
-def truncate(x, s, keys):
+def truncate(x, s, keys, keep=None):
     mean, std = _stats(x, keys)
     return F.when(x.isNotNull(), F.least(F.greatest(x, mean - s[0] * std), mean + s[0] * std))
 
 
-def truncate_u(x, s, keys):
+def truncate_u(x, s, keys, keep=None):
     mean, std = _stats(x, keys)
     return F.when(x.isNotNull(), F.least(x, mean + s[0] * std))
 
 
-def sigwin(x, s, keys):
+def sigwin(x, s, keys, keep=None):
     z = zscore(x, s, keys)
     return F.when(F.abs(z) > s[1], None).when(F.abs(z) > s[0], F.signum(z) * s[0]).otherwise(z)
 
 
-def sigwin_u(x, s, keys):
+def sigwin_u(x, s, keys, keep=None):
     z = zscore(x, s, keys)
     return F.when(z > s[1], None).when(z > s[0], F.lit(float(s[0]))).otherwise(z)
 
 
-def rank(x, s, keys):
-    """Average rank over n - 1, from 0 to 1; one half for a single value."""
+#: Relative difference up to which neighbours in order count as equal.
+TIE = 1e-6
+
+
+def rank(x, s, keys, keep):
+    """Average rank over n - 1, from 0 to 1; one half for a single value.  Neighbours in order within TIE of each other share a rank.
+
+    ``keep`` puts a column on the panel, as windows over windows need.
+    """
     valid = x.isNotNull()
     own = Window.partitionBy(*keys, valid)
-    n = F.count(x).over(own)
-    below = F.rank().over(own.orderBy(x)) - 1
-    ties = F.count(x).over(Window.partitionBy(*keys, valid, x))
-    return F.when(valid, F.when(n == 1, 0.5).otherwise((2 * below + ties - 1) / (2 * F.when(n > 1, n - 1))))
+    line = own.orderBy(x)
+    before = keep(F.lag(x).over(line))
+    apart = before.isNull() | (F.abs(x - before) / (F.abs(x) + F.abs(before) + 1e-10) > TIE)
+    at, run = keep(F.row_number().over(line)), keep(F.sum(apart.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    n, same = F.count(x).over(own), Window.partitionBy(*keys, valid, run)
+    middle = (F.min(at).over(same) + F.max(at).over(same)) / 2 - 1
+    return F.when(valid, F.when(n == 1, 0.5).otherwise(middle / F.when(n > 1, n - 1)))
 
 
-def rankpow(x, s, keys):
-    r = rank(x, s, keys) - 0.5
+def rankpow(x, s, keys, keep):
+    r = rank(x, s, keys, keep) - 0.5
     return F.signum(r) * power(F.abs(r), s[0])
 
 
-def scale(x, s, keys):
+def scale(x, s, keys, keep=None):
     total = F.sum(F.abs(x)).over(Window.partitionBy(*keys))
     return F.when(x.isNotNull(), F.when(total < 1e-10, 0.0).otherwise(x * s[0] / F.when(total >= 1e-10, total)))
 

@@ -24,6 +24,7 @@ class Frame:
     t: Column  # row number of the instrument's day
     over: WindowSpec
     raw: bool
+    begin: Column | None = None  # row number of the frame's first row, where it is not the window's
 
     def agg(self, c: Column) -> Column:
         return c.over(self.over)
@@ -34,7 +35,7 @@ class Frame:
 
     @property
     def start(self) -> Column:
-        return F.min(self.t).over(self.over)
+        return F.min(self.t).over(self.over) if self.begin is None else self.begin
 
     @property
     def n(self) -> Column:

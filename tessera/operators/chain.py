@@ -1,21 +1,20 @@
 """Chains of signal operations, ``rank|neut:g|scale:100``: each takes and gives a signal column ``value``.
 
-Operations on one date or one instrument are window expressions; recurrences
-without a closed form run per instrument.
+Operations on one date or one instrument are window expressions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cross, series
 from ..functions.guards import INF, fin, power
-from ..plans.compile import FILL, Plan
+from ..plans.compile import Plan
+
 
 def val() -> Column:
     return F.col("value")
@@ -148,14 +147,20 @@ def _masked(df, mask="univ"):
     return df.withColumn("value", F.when(F.col(mask), fin(val())))
 
 
+def _ranked(df, make, name="value"):
+    plan = Plan(df, None)
+    made = make(plan.keep)
+    return plan.df.withColumn(name, made).select(*df.columns, *([name] if name not in df.columns else []))
+
+
 @op("rank")
 def _rank(df):
-    return _masked(df).withColumn("value", cross.rank(val(), [], ["dti"]))
+    return _ranked(_masked(df), lambda keep: cross.rank(val(), [], ["dti"], keep))
 
 
 @op("powrank")
 def _powrank(df, e):
-    return _masked(df).withColumn("value", cross.rankpow(val(), [float(e)], ["dti"]))
+    return _ranked(_masked(df), lambda keep: cross.rankpow(val(), [float(e)], ["dti"], keep))
 
 
 @op("scale")
@@ -223,7 +228,8 @@ def _upbound(df, k):
     x = fin(val())
     df = df.withColumn("_n", F.count(x).over(day())).withColumn("_up", F.row_number().over(day().orderBy(x.asc_nulls_last(), "ii"))).withColumn("_down", F.row_number().over(day().orderBy(x.desc_nulls_last(), "ii")))
     lo, hi = F.max(F.when(F.col("_up") == k, x)).over(day()), F.max(F.when(F.col("_down") == k, x)).over(day())
-    df = df.withColumn("_c", F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi) - lo)).withColumn("_r", cross.rank(x, [], ["dti"]))
+    df = df.withColumn("_c", F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi) - lo))
+    df = _ranked(df, lambda keep: cross.rank(x, [], ["dti"], keep), "_r")
     mean = F.avg("_c").over(day())
     return df.withColumn("value", F.when(F.col("_n") < 2 * k, F.col("_r")).otherwise(F.when(mean > 0, F.col("_c") * 0.5 / F.when(mean > 0, mean)).otherwise(F.col("_c")))).drop("_n", "_up", "_down", "_c", "_r")
 
@@ -257,91 +263,56 @@ def _hedgesig(df, ii):
     return df.withColumn("value", F.when(by.isNotNull(), val() - by).otherwise(val()))
 
 
-def per_instrument(df: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A recurrence along each instrument's dates, one group per instrument: its rows are the calendar's."""
-    schema = df.schema
+def _smoothed(x: Column, segment: list, r: float) -> Column:
+    """acc = x * r + acc * (1 - r) along a segment's rows, from its first row on.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dti")
-        return pdf.assign(value=step(pdf["value"].to_numpy(float, na_value=np.nan)))
-
-    return df.groupBy("ii").applyInPandas(run, schema).withColumn("value", fin(F.when(~F.isnan(val()), val())))
+    Rows so far back that their weight is below what a double holds beside the
+    rest are left out, so the frame is bounded.
+    """
+    back = max(1, math.ceil(-45 / math.log(1 - r))) if 0 < r < 1 else 1
+    cells = F.collect_list(F.struct(x.alias("x"))).over(Window.partitionBy("ii", *segment).orderBy("dti").rowsBetween(-back, 0))
+    return F.aggregate(cells, F.lit(None).cast("double"), lambda acc, e: F.when(acc.isNull(), e["x"]).otherwise(e["x"] * r + acc * (1 - r)))
 
 
 @op("expdecay")
 def _expdecay(df, r):
-    r = float(r)
-
-    def step(x):
-        out, last = np.empty_like(x), np.nan
-        for k, v in enumerate(x):
-            last = v if np.isnan(last) or np.isnan(v) else v * r + last * (1 - r)
-            out[k] = last
-        return out
-
-    return per_instrument(df, step)
+    """Starts again after each missing cell."""
+    plan = Plan(df, None)
+    x = plan.keep(fin(val()))
+    run = plan.keep(F.count(F.when(x.isNull(), 1)).over(history().rowsBetween(Window.unboundedPreceding, 0)))
+    return plan.df.withColumn("value", F.when(x.isNotNull(), fin(_smoothed(x, [run, x.isNull()], float(r))))).select(df.columns)
 
 
 @op("sexpdecay")
 def _sexpdecay(df, r):
-    """Decay over gaps too: between two values, p rows apart, the signal is taken to move along a line."""
-    r = float(r)
-
-    def step(x):
-        out, at = x.copy(), -1
-        for k in np.flatnonzero(~np.isnan(x)):
-            if at >= 0:
-                p = k - at
-                j = np.arange(1, p + 1)
-                line = x[at] + (x[k] - x[at]) * j / p
-                acc = out[at]
-                for v in line:
-                    acc = v * r + acc * (1 - r)
-                out[k] = acc
-            at = k
-        return out
-
-    return per_instrument(df, step)
-
-
-def per_date(df: DataFrame, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A fixed point across the instruments of each date, one bounded group per date."""
-    schema = df.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ii")
-        return pdf.assign(value=step(pdf["value"].to_numpy(float, na_value=np.nan)))
-
-    return df.groupBy("dti").applyInPandas(run, schema).withColumn("value", fin(F.when(~F.isnan(val()), val())))
+    """Decay over gaps too: between two values the signal is taken to move along a line."""
+    plan = Plan(df, None)
+    x = plan.keep(fin(val()))
+    t = plan.keep(F.row_number().over(history()))
+    full = plan.keep(plan.filled(x, t, history(), math.inf))
+    return plan.df.withColumn("value", F.when(x.isNotNull(), fin(_smoothed(full, [full.isNull()], float(r))))).select(df.columns)
 
 
 @op("boundsize")
 def _boundsize(df, b):
-    """Positive weights capped at max(1/n, b) of their total; what is cut off goes to the others by weight, until none is above."""
-    b = float(b)
-
-    def step(x):
-        own = np.flatnonzero(x > 0)
-        if not len(own):
-            return x
-        w, total = x[own].copy(), x[own].sum()
-        cap, fixed = max(1 / len(own), b) * total, np.zeros(len(own), bool)
-        while True:
-            over = ~fixed & (w > cap * (1 + 1e-12))
-            if not over.any():
-                break
-            fixed |= over
-            w[fixed] = cap
-            rest = total - cap * fixed.sum()
-            free = w[~fixed].sum()
-            if free <= 0:
-                break
-            w[~fixed] *= rest / free
-        out = x.copy()
-        out[own] = w
-        return out
-
-    return per_date(df, step)
+    """Positive weights capped at max(1/n, b) of their total; what is cut off goes to the others by weight, until none is above.
+
+    In falling order the first k are capped, for the smallest k that leaves the
+    next, once scaled, below the cap.
+    """
+    plan = Plan(df, None)
+    x = plan.keep(F.when(fin(val()) > 0, fin(val())))
+    own = Window.partitionBy("dti", x.isNotNull())
+    line = own.orderBy(x.desc(), "ii")
+    n, total = plan.keep(F.count(x).over(own)), plan.keep(F.sum(x).over(own))
+    cap = F.greatest(1 / F.when(n > 0, n), F.lit(float(b))) * total
+    k = plan.keep(F.row_number().over(line) - 1)
+    left = plan.keep(total - F.coalesce(F.sum(x).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    below = x * (total - cap * k) <= cap * left * (1 + 1e-12)
+    capped = plan.keep(F.coalesce(F.min(F.when(below, k)).over(own), n))
+    rest = plan.keep(F.max(F.when(k == capped, left)).over(own))
+    shared = F.when(k < capped, cap).otherwise(x * (total - cap * capped) / F.when(rest > 0, rest))
+    return plan.df.withColumn("value", F.when(x.isNotNull(), shared).otherwise(val())).select(df.columns)
 
 
 @op("bounddvol")
@@ -368,28 +339,26 @@ def _bounddvol(df, traded, booksize, share):
 
 
 def _trailing(name: str, more: int = 0):
-    """A trailing operation: gaps of up to 60 rows filled, then the last rows from the first present one on, later missing ones skipped.
-
-    A frame short enough to hold one side of an unfilled gap only starts after the gap; a longer one starts at the instrument's first value.
-    """
+    """A trailing operation: gaps of up to 60 rows filled, then the last rows from the first present one on, later missing ones skipped."""
 
     def run(df, n, *rest):
         plan = Plan(df, None)
         x = plan.keep(fin(val()))
         t = plan.keep(F.row_number().over(history()))
         full = plan.keep(plan.filled(x, t, history()))
-        so_far = history().rowsBetween(Window.unboundedPreceding, 0)
-        if int(n) + more <= FILL:
-            part = [plan.keep(F.count(F.when(full.isNull(), 1)).over(so_far)), plan.keep(full.isNull())]
-        else:
-            part = [plan.keep(F.count(full).over(so_far) > 0)]
-        frame = series.Frame(full, None, t, Window.partitionBy("ii", *part).orderBy("dti").rowsBetween(1 - int(n) - more, 0), False)
-        got = BUILD[name](frame, [float(n), *map(float, rest)])
+        rows = history().rowsBetween(1 - int(n) - more, 0)
+        begin = plan.keep(F.min(F.when(full.isNotNull(), t)).over(rows))
+        got = BUILD[name](series.Frame(full, None, t, rows, False, begin), [float(n), *map(float, rest)])
         return plan.df.withColumn("value", F.when(x.isNotNull(), fin(got))).select(df.columns)
 
     return run
 
 
+def _count(f, s):
+    """Rows from the frame's first present one on that are not 0, missing ones included."""
+    return (f.t - f.start + 1 - f.agg(F.count(F.when(f.x == 0, 1)))).cast("double")
+
+
 def _demean2(f, s):
     """Today less the mean of the rows before it."""
     before = f.agg(F.sum(f.x)) - f.x
@@ -399,6 +368,6 @@ def _demean2(f, s):
 BUILD: dict[str, Callable[..., Column]] = {
     "tsmin": series.SERIES["ts_min"][3], "tsmax": series.SERIES["ts_max"][3], "tssum": series.SERIES["ts_sum"][3], "tsprod": series.prod, "tsmean": series.SERIES["ts_mean"][3],
     "tsstd": series.SERIES["ts_std"][3], "tsmeandev": series.mean_dev, "tsrmean": series.rmean, "tsargmin": series.argmin, "tsargmax": series.argmax, "tscorrstep": series.corr_step,
-    "tsdecaylinear": series.decay_linear, "tscount": series.count, "tsdemean": series.demean, "tsdemean2": _demean2, "tszscore": series.zscore, "tsrank": series.rank, "tsdelta": series.delta, "tsema": series.ema,
+    "tsdecaylinear": series.decay_linear, "tscount": _count, "tsdemean": series.demean, "tsdemean2": _demean2, "tszscore": series.zscore, "tsrank": series.rank, "tsdelta": lambda f, s: f.x - f.agg(F.first(f.x, True)), "tsema": series.ema,
 }
 OPS |= {name: _trailing(name, int(name == "tsdelta")) for name in BUILD}

@@ -105,3 +105,100 @@ def bars(events: DataFrame, minutes: int = 5) -> DataFrame:
     out = events.groupBy("user_id", at).agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"), F.max("value").alias("high"), F.min("value").alias("low"), F.sum("value").alias("total"), F.count("*").alias("n"))
     day = Window.partitionBy("user_id", F.to_date("bucket")).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("n_day", F.sum("n").over(day)).withColumn("high_day", F.max("high").over(day)).withColumn("low_day", F.min("low").over(day))
+
+
+def hedged(days: DataFrame, panel: DataFrame, index: int, book: float) -> DataFrame:
+    """(dti, hedge_ret): the longs' return less that of the instrument ``index``; 0 on the first date."""
+    of = panel.where(F.col("ii") == index).select("dti", F.coalesce("ret", F.lit(0.0)).alias("_r"))
+    first = F.row_number().over(Window.orderBy("dti")) == 1  # one row per date
+    return days.join(of, "dti").select("dti", F.when(first, 0.0).otherwise(F.col("long_pnl") / book - F.col("_r")).alias("hedge_ret"))
+
+
+def period_cosine(signal: DataFrame, per: int) -> DataFrame:
+    """(period, cos): cosine of a date's signal with the next date's return over all cells of ``per`` dates, and of all dates (period NULL)."""
+    later = F.lead("ret").over(history())
+    df = signal.withColumn("_r", later).where("value is not null and _r is not null").withColumn("period", F.floor((F.col("dti") - 1) / per).cast("long"))
+    both = F.sum(F.col("value") * F.col("value")) * F.sum(F.col("_r") * F.col("_r"))
+    return df.rollup("period").agg(F.when(both > 0, F.sum(F.col("value") * F.col("_r")) / F.sqrt(F.when(both > 0, both))).alias("cos"))
+
+
+def chunked(days: DataFrame, k: int, least: int = 3) -> DataFrame:
+    """One row for every ``k`` dates: total, ratio on the population deviation and turnover; chunks that start with ``least`` dates or fewer left are left out."""
+    # one row per date
+    rows = days.withColumn("_n", F.row_number().over(Window.orderBy("dti")) - 1).withColumn("_all", F.count("*").over(Window.partitionBy(F.lit(0))))
+    start = F.floor(F.col("_n") / k).cast("long")
+    sd = F.stddev_pop("pnl")
+    out = rows.where(F.col("_all") - start * k > least).groupBy(start.alias("chunk"))
+    return out.agg(F.count("*").alias("days"), F.sum("pnl").alias("pnl"), F.when(sd > 0, F.avg("pnl") / F.when(sd > 0, sd)).alias("ir"), F.avg("tvr").alias("tvr"))
+
+
+#: Presets: book, fee by the date from which it holds, and dates a year.
+PRESETS = {"cn": (1e5, {20010101: 0.00065, 20240101: 0.0004}, 250), "crypto": (1.0, {0: 0.0002}, 365 * 24)}
+
+
+def fee_on(steps: dict[int, float], at):
+    """The fee that holds on a date: that of the last step at or before it."""
+    fee = F.lit(0.0)
+    for start, value in sorted(steps.items()):
+        fee = F.when(at >= start, value).otherwise(fee)
+    return fee
+
+
+def intraday(signal: DataFrame, steps: dict[int, float], buckets: int) -> DataFrame:
+    """One row per date of a signal by bucket (dti, ti, ii, value, ret): what a bucket holds earns the next one's return, across days too.
+
+    Turnover counts the first bucket's position; counts and values are means over ``buckets``.
+    """
+    own = Window.partitionBy("ii").orderBy("dti", "ti")
+    sig, ret = F.coalesce("value", F.lit(0.0)), F.coalesce("ret", F.lit(0.0))
+    df = signal.select("dti", "ti", "ii", sig.alias("s"), ret.alias("r")).withColumn("p", F.coalesce(F.lag("s").over(own), F.lit(0.0)))
+    s, p, r = F.col("s"), F.col("p"), F.col("r")
+    out = df.groupBy("dti").agg(
+        F.sum(F.abs(s - p)).alias("tvr"), F.sum(p * r).alias("gross"), F.sum(F.greatest(p, F.lit(0.0)) * r).alias("long_pnl"), F.sum(F.least(p, F.lit(0.0)) * r).alias("short_pnl"),
+        (F.count(F.when(s > 0, 1)) / buckets).alias("long_count"), (F.count(F.when(s < 0, 1)) / buckets).alias("short_count"), (F.sum(F.greatest(s, F.lit(0.0))) / buckets).alias("long_val"), (F.sum(F.least(s, F.lit(0.0))) / buckets).alias("short_val"),
+    )
+    out = out.withColumn("tcost", -F.col("tvr") * fee_on(steps, F.col("dti")))
+    return out.withColumn("pnl", F.col("gross") + F.col("tcost"))
+
+
+def correlated(series: DataFrame, name: str, top: int) -> DataFrame:
+    """(other, tag, corr): the stored daily series (name, tag, dti, value) most correlated with ``name``'s over common dates."""
+    one = series.where(F.col("name") == name).select("dti", F.col("value").alias("_v"))
+    out = series.where(F.col("name") != name).join(one, "dti").groupBy(F.col("name").alias("other"), "tag").agg(F.corr("value", "_v").alias("corr"))
+    return out.orderBy(F.col("corr").desc_nulls_last(), "other").limit(top)
+
+
+def chosen(summaries: DataFrame, condition: str) -> DataFrame:
+    """Names whose yearly figures meet ``condition``: rows (name, period, pnl, ir) become columns pnl_<period>, ir_<period>, and pnl_all, ir_all."""
+    period = F.coalesce(F.col("period").cast("string"), F.lit("all"))
+    return summaries.withColumn("period", period).groupBy("name").pivot("period").agg(F.first("pnl").alias("pnl"), F.first("ir").alias("ir")).select("name", "*").transform(_renamed).where(condition)
+
+
+def _renamed(wide: DataFrame) -> DataFrame:
+    """<period>_<figure> as <figure>_<period>."""
+    flip = {c: "_".join(reversed(c.rsplit("_", 1))) for c in wide.columns if c != "name"}
+    return wide.select("name", *(F.col(c).alias(flip[c]) for c in flip))
+
+
+def group_ic(signal: DataFrame, group: str) -> DataFrame:
+    """One row: the cosine of value and ret over all rows, and the mean of the groups' cosines."""
+    rows = signal.where("value is not null and ret is not null")
+    x, y = F.col("value"), F.col("ret")
+    each = rows.groupBy(group).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    cosine = lambda xy, xx, yy: F.when(xx * yy > 0, xy / F.sqrt(F.when(xx * yy > 0, xx * yy)))
+    return each.agg(cosine(F.sum("xy"), F.sum("xx"), F.sum("yy")).alias("ic"), F.avg(cosine(F.col("xy"), F.col("xx"), F.col("yy"))).alias("group_ic"))
+
+
+def per_symbol(signal: DataFrame, fee: float, per_year: int) -> DataFrame:
+    """One row per instrument: cosine, mean turnover, total and yearly profit, basis points, ratio and drawdown of its own signal, zero-filled after its first value."""
+    back = history().rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce("value", F.when(F.count("value").over(back) > 0, 0.0))
+    df = signal.select("dti", "ii", "ret", held.alias("s")).withColumn("p", F.lag("s").over(history()))
+    df = df.withColumn("trade", F.abs(F.col("s") - F.col("p"))).withColumn("pnl", F.col("p") * F.col("ret") - F.col("trade") * fee).where("p is not null")
+    df = df.withColumn("_cum", F.sum(F.coalesce("pnl", F.lit(0.0))).over(back)).withColumn("_dd", F.max("_cum").over(back) - F.col("_cum"))
+    both, sd, traded = F.sum(F.when(F.col("ret").isNotNull(), F.col("p") * F.col("p"))) * F.sum(F.col("ret") * F.col("ret")), F.stddev_pop("pnl"), F.sum("trade")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return df.groupBy("ii").agg(
+        zero(F.when(both > 0, F.sum(F.col("p") * F.col("ret")) / F.sqrt(F.when(both > 0, both)))).alias("cos"), zero(F.avg("trade")).alias("tvr"), zero(F.sum("pnl")).alias("total_pnl"), zero(F.avg("pnl") * per_year).alias("yearly_pnl"),
+        zero(F.when(traded > 0, F.sum("pnl") / F.when(traded > 0, traded) * 10000)).alias("pnl_bps"), zero(F.when(sd > 1e-20, F.avg("pnl") / F.when(sd > 1e-20, sd) * per_year**0.5)).alias("ir"), F.max("_dd").alias("dd"),
+    )

@@ -152,12 +152,12 @@ def _chain_sql(value: str, more: str = "", source: str = "panel") -> str:
 
 _D, _I = "panel WINDOW w AS (PARTITION BY dti)", "panel WINDOW w AS (PARTITION BY ii ORDER BY dti)"
 _U = ", u AS (SELECT dti, ii, univ, g, CASE WHEN univ THEN x END AS x FROM panel)"
-def _trailing_sql(value: str, rows: int) -> str:
+def _trailing_sql(value: str, rows: int, source: str = "panel") -> str:
     """``value`` over l, the last rows of the signal, its gaps of up to 60 rows filled, from the first present one on."""
     ends = ", ".join(f"{f}({v} IGNORE NULLS) OVER (PARTITION BY ii ORDER BY dti ROWS BETWEEN {r}) AS {n}{k}" for v, n in (("x", "x"), ("CASE WHEN x IS NOT NULL THEN t END", "t")) for f, r, k in (("last_value", "UNBOUNDED PRECEDING AND CURRENT ROW", 0), ("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING", 1)))
-    more = f""", base AS (SELECT dti, ii, x, row_number() OVER (PARTITION BY ii ORDER BY dti) AS t FROM panel), ends AS (SELECT *, {ends} FROM base),
+    more = f""", base AS (SELECT dti, ii, x, row_number() OVER (PARTITION BY ii ORDER BY dti) AS t FROM {source}), ends AS (SELECT *, {ends} FROM base),
         filled AS (SELECT *, coalesce(x, CASE WHEN t1 - t0 - 1 <= 60 THEN x0 + (x1 - x0) * (t - t0) / (t1 - t0) END) AS fx FROM ends), runs AS (SELECT *, fx IS NULL AS gap, count(*) FILTER (fx IS NULL) OVER (PARTITION BY ii ORDER BY dti ROWS UNBOUNDED PRECEDING) AS run FROM filled),
-        framed AS (SELECT *, list(fx) OVER (PARTITION BY ii, run, gap ORDER BY dti ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW) AS l FROM runs)"""
+        framed AS (SELECT * EXCLUDE (l0), l0[list_position(list_transform(l0, lambda e: e IS NOT NULL), true):] AS l FROM (SELECT *, list(fx) OVER (PARTITION BY ii ORDER BY dti ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW) AS l0 FROM runs))"""
     return _chain_sql(f"CASE WHEN x IS NOT NULL THEN {value} END", more, "framed")
 
 

@@ -71,14 +71,14 @@ class Plan:
             scalars, build = CROSS[name]
             self.arity(node, 1 + scalars)
             x = self.keep(fin(self.masked(self.build(parts[0]))))
-            return self.keep(build(x, [number(p) for p in parts[1:]], [self.date]))
+            return self.keep(build(x, [number(p) for p in parts[1:]], [self.date], self.keep))
         if name in GROUP:
             scalars, build = GROUP[name]
             self.arity(node, 2 + scalars)
             group = F.col(parts[-1].value)
             x = self.keep(fin(self.masked(self.build(parts[0]))))
             own = F.when(group >= 0, x)
-            inside = build(self.keep(own), [number(p) for p in parts[1:-1]], [self.date, group])
+            inside = build(self.keep(own), [number(p) for p in parts[1:-1]], [self.date, group], self.keep)
             some = F.max(group).over(Window.partitionBy(self.date)) >= 0  # a date without groups stays as it is
             return self.keep(F.when(F.coalesce(some, F.lit(False)), F.when(group >= 0, inside)).otherwise(x))
         raw = name.endswith("_raw")
@@ -110,18 +110,18 @@ class Plan:
         valid = now[0].isNotNull() if len(now) == 1 else now[0].isNotNull() & now[1].isNotNull()
         return self.keep(F.when(valid, real(build(frame, s))))
 
-    def filled(self, x: Column, t: Column, own) -> Column:
-        """Gaps of up to FILL rows between two valid cells, filled along a line."""
+    def filled(self, x: Column, t: Column, own, most: float = FILL) -> Column:
+        """Gaps of up to ``most`` rows between two valid cells, filled along a line."""
         back, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(0, Window.unboundedFollowing)
         at = F.when(x.isNotNull(), t)
         x0, t0, x1, t1 = F.last(x, True).over(back), F.last(at, True).over(back), F.first(x, True).over(ahead), F.first(at, True).over(ahead)
-        return F.coalesce(x, F.when(t1 - t0 - 1 <= FILL, x0 + (x1 - x0) * (t - t0) / F.when(t1 > t0, t1 - t0)))
+        return F.coalesce(x, F.when(t1 - t0 - 1 <= most, x0 + (x1 - x0) * (t - t0) / F.when(t1 > t0, t1 - t0)))
 
     def regression(self, name: str, node: Node) -> Column:
-        """Least squares without intercept on up to two regressors, from sums over the frame: coefficient k, or for 0 the residual."""
+        """Least squares without intercept on any number of regressors, from sums over the frame: coefficient k, or for 0 the residual."""
         *inputs, n, k = node.children
-        if len(inputs) not in (2, 3):
-            raise ValueError(f"{name} takes one or two regressors")
+        if len(inputs) < 2:
+            raise ValueError(f"{name} takes a target and regressors")
         y, *xs = [self.keep(fin(self.masked(self.build(p)) if name == "c_reg" else self.build(p))) for p in inputs]
         full = y.isNotNull()
         for x in xs:
@@ -129,6 +129,7 @@ class Plan:
         pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]] + [(x, y) for x in xs]
         rows = int(number(n))
         if name == "c_reg":
+            # one row per date
             frame = Window.partitionBy(F.lit(0)).orderBy(self.date).rangeBetween(1 - rows, 0)
             daily = self.df.groupBy(self.date).agg(*[F.sum(F.when(full, a * b)).alias(f"_d{i}") for i, (a, b) in enumerate(pairs)], F.count(F.when(full, 1)).alias("_dn"))
             sums = daily.select(self.date, *[F.sum(f"_d{i}").over(frame).alias(f"_s{i}") for i in range(len(pairs))], F.sum("_dn").over(frame).alias("_sn"))
@@ -136,20 +137,37 @@ class Plan:
             s, count = [F.col(f"_s{i}") for i in range(len(pairs))], F.col("_sn")
         else:
             frame = Window.partitionBy(self.key).orderBy(self.date).rowsBetween(1 - rows, 0)
-            s, count = [F.sum(F.when(full, a * b)).over(frame) for a, b in pairs], F.count(F.when(full, 1)).over(frame)
-        if len(xs) == 1:
-            b = [F.when(F.abs(s[0]) > 1e-100, s[1] / F.when(F.abs(s[0]) > 1e-100, s[0]))]
-        else:
-            det = s[0] * s[2] - s[1] * s[1]
-            det = F.when(F.abs(det) > 1e-100, det)
-            b = [(s[3] * s[2] - s[4] * s[1]) / det, (s[0] * s[4] - s[1] * s[3]) / det]
-        b = [self.keep(F.when(count >= len(xs), c)) for c in b]
+            s, count = [self.keep(F.sum(F.when(full, a * b)).over(frame)) for a, b in pairs], self.keep(F.count(F.when(full, 1)).over(frame))
+        b = [self.keep(F.when(count >= len(xs), c)) for c in self.solved(s, len(xs))]
         k = int(number(k))
         out = self.keep(b[k - 1] if k else y - sum((c * x for c, x in zip(b, xs)), F.lit(0.0)))
         if name == "c_reg":
             self.df = self.df.drop(*[f"_s{i}" for i in range(len(pairs))], "_sn")
         return F.when(y.isNotNull() if name == "c_reg" else full, out)
 
+    def solved(self, s: list[Column], k: int) -> list[Column]:
+        """The solution of the normal equations, by elimination: ``s`` has the upper triangle row by row, then the right side; NULL if singular."""
+        upper = iter(s)
+        left = [[None] * k for _ in range(k)]
+        for i in range(k):
+            for j in range(i, k):
+                left[i][j] = left[j][i] = next(upper)
+        right, det = list(upper), F.lit(1.0)
+        for i in range(k):
+            det = det * left[i][i]
+            pivot = F.when(F.abs(left[i][i]) > 0, left[i][i])
+            for r in range(i + 1, k):
+                factor = self.keep(left[r][i] / pivot)
+                left[r] = [None if c <= i else self.keep(left[r][c] - factor * left[i][c]) for c in range(k)]
+                right[r] = self.keep(right[r] - factor * right[i])
+        out: list = [None] * k
+        for i in reversed(range(k)):
+            rest = right[i]
+            for c in range(i + 1, k):
+                rest = rest - left[i][c] * out[c]
+            out[i] = self.keep(F.when(F.abs(det) > 1e-100, rest / F.when(F.abs(left[i][i]) > 0, left[i][i])))
+        return out
+
 
 def evaluate(panel: DataFrame, expression: str, out: str = "value", mask: str | None = "univ") -> DataFrame:
     """(dti, ii, value): the expression on a dense panel, NULL outside the mask."""

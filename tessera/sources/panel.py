@@ -34,6 +34,41 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("dti", "ii", "g", "univ", x.alias("x"), y.alias("y"), (price / 100000.123457 - 0.015).alias("ret"))
 
 
+def supplier_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dti, ii, g, close, high, low, vol, dvol, shares, adj, listed, st): months by suppliers as quotes, from ``lineitem`` and ``supplier``.
+
+    Scaled unit prices are the quotes and quantities the volume; adj is a split every
+    24 months, st a flag that is unknown for some.
+    """
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    price = cents.cast("double") / 100 / F.col("l_quantity") / 1.0123457
+    cells = items.groupBy(month.alias("dti"), F.col("l_suppkey").alias("ii")).agg(
+        F.max_by(price, F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.sum(F.col("l_quantity").cast("long")).cast("double").alias("vol"), (F.sum(cents).cast("double") / 101.23457).alias("dvol"),
+    )
+    inst = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ii"), F.when(F.col("s_nationkey") < 3, -1).otherwise(F.col("s_nationkey") % 5).alias("g"))
+    at = F.col("dti") + F.col("ii")
+    grid = densify(cells, inst).withColumn("shares", (F.lit(10) + F.col("ii") % 7).cast("double") / 10.123457).withColumn("adj", F.when(at % 24 == 0, 2.0))
+    return grid.withColumn("listed", F.col("dti") >= 1 + F.col("ii") % 5).withColumn("st", F.when(at % 17 == 0, 1).when(at % 5 != 0, 0))
+
+
+def read_templated(spark: SparkSession, template: str, days: list[str], **options) -> DataFrame:
+    """Delimited files of some days, with ``day``; ``template`` holds {yyyy}, {mm} and {dd}, and days are yyyymmdd."""
+    df = None
+    for d in days:
+        part = spark.read.options(header=True, **options).csv(template.format(yyyy=d[:4], mm=d[4:6], dd=d[6:])).withColumn("day", F.lit(d))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    return df
+
+
+def read_positions(spark: SparkSession, path: str, instruments: DataFrame, date: str = "dti") -> DataFrame:
+    """Positions as write_positions leaves them, for known instruments (ii) only."""
+    rows = spark.read.option("sep", "|").option("header", True).csv(path)
+    return rows.select(F.col(date).cast("int"), F.expr("try_cast(ii as long)").alias("ii"), F.expr("try_cast(value as double)").alias("value")).join(instruments.select("ii"), "ii", "left_semi").select(date, "ii", "value")
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
     """Text with a header, plain or gzip by suffix; every cell is text until a lenient cast."""
     return spark.read.option("header", True).option("sep", sep).csv(path)

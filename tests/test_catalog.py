@@ -5,16 +5,16 @@ import math
 import duckdb
 import pytest
 
-import tessera.plans.catalog as catalog
+from tessera.plans import catalog, more
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
+QUERIES, SQL = catalog.queries() | more.queries(), catalog.oracle_sql() | more.oracle_sql()
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "supplier", "events"):
+    for t in ("lineitem", "supplier", "events", "orders"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
