@@ -101,19 +101,32 @@ def whole_cells(batches):
         yield joined()
 
 
-def pairs_of(at: np.ndarray, side: np.ndarray):
-    """(x, y): the row numbers of all pairs to compare inside each cell, some cells at a time."""
-    length, mixed = np.diff(at), side.any()
-    for m in np.unique(length[length > 1]).tolist():
-        a, b = np.triu_indices(m, 1)
-        first = at[:-1][length == m]
-        step = max(1, PAIRS // len(a))
-        for k in range(0, len(first), step):
-            x, y = ((first[k : k + step, None] + c).ravel() for c in (a, b))
-            if mixed:
-                two = (side[x] == 0) | (side[x] != side[y])
-                x, y = x[two], y[two]
+def pairs_of(at: np.ndarray, side: np.ndarray, size: np.ndarray, reach: np.ndarray):
+    """(x, y): the row numbers of all pairs to compare inside each cell, some at a time.
+
+    Only pairs with size[x] <= size[y] <= reach[x] are of interest.
+    """
+    cell = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((size, cell))
+    # one number for cell and size, so that a search finds where a row's partners end
+    width = int(max(size.max(), reach.max())) + 1
+    end = np.searchsorted(cell * width + size[order], cell * width + reach[order], side="right")
+    many = end - np.arange(len(order)) - 1
+    upto = np.cumsum(many)
+    mixed, lo = side.any(), 0
+    while lo < len(order):
+        before = upto[lo] - many[lo]
+        hi = max(lo + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+        n = many[lo:hi]
+        x = np.repeat(np.arange(lo, hi), n)
+        y = np.arange(before, before + len(x)) - np.repeat(upto[lo:hi] - n, n) + x + 1
+        x, y = order[x], order[y]
+        if mixed:
+            two = (side[x] == 0) | (side[x] != side[y])
+            x, y = x[two], y[two]
+        if len(x):
             yield x, y
+        lo = hi
 
 
 def merged(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -160,8 +173,8 @@ def near_in_cells(batches, prepare: Callable):
             table = table.filter(pa.array(np.repeat(length > 1, length)))
             at = np.concatenate(([0], np.cumsum(length[length > 1])))
         ids, place = np.unique(table.column("id").to_numpy(), return_inverse=True)
-        side, close, label = table.column("side").to_numpy(), prepare(*sketches(table)), np.arange(len(ids))
-        for x, y in pairs_of(at, side):
+        side, (size, reach, close), label = table.column("side").to_numpy(), prepare(*sketches(table)), np.arange(len(ids))
+        for x, y in pairs_of(at, side, size, reach):
             near = close(x, y)
             label = merged(label, place[x[near]], place[y[near]])
         yield edges_of(ids, label)
@@ -171,8 +184,8 @@ def near_edges(rows: DataFrame, prepare: Callable) -> DataFrame:
     """Edges (a, b) that connect all rows (key long, id long, s binary) that share a key and are close.
 
     ``prepare`` takes the 64-bit words of the sketches s and each row's bounds
-    in them, and gives a function of two arrays of row numbers: which pairs are
-    close.  Output is linear in the rows, as a task gives what its close pairs
+    in them, and gives each row's size, the largest size of a row close to it,
+    and a function of two arrays of row numbers: which pairs are close.  Output is linear in the rows, as a task gives what its close pairs
     connect, not the pairs.
     """
     cells = celled(rows, "key", "id").select("cell", "side", "id", "s")

@@ -86,7 +86,8 @@ def _keys(batches):
 def components_apart(words: np.ndarray, at: np.ndarray):
     """For near_edges: whether at most ERRORS components are seen to differ, which holds for all pairs with at most so many that do."""
     s = words.reshape(-1, 2)
-    return lambda x, y: np.bitwise_count((s[x, 0] ^ s[y, 0]) | (s[x, 1] ^ s[y, 1])) <= ERRORS
+    one = np.zeros(len(s), np.int64)
+    return one, one, lambda x, y: np.bitwise_count((s[x, 0] ^ s[y, 0]) | (s[x, 1] ^ s[y, 1])) <= ERRORS
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

@@ -25,7 +25,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     # most columns are hashes, which no dictionary makes smaller
-    df.write.option("compression", "lz4_raw").option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

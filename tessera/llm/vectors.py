@@ -49,7 +49,8 @@ def _keys(batches):
 def signs_apart(words: np.ndarray, at: np.ndarray):
     """For near_edges: whether at most SIGN_BITS sign bits differ."""
     s = words.reshape(-1, 2)
-    return lambda x, y: np.bitwise_count(s[x] ^ s[y]).sum(1, dtype=np.int64) <= SIGN_BITS
+    one = np.zeros(len(s), np.int64)
+    return one, one, lambda x, y: np.bitwise_count(s[x] ^ s[y]).sum(1, dtype=np.int64) <= SIGN_BITS
 
 
 def _cosines(batches, least: float):
