@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,5 +42,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's collector run, after which Spark removes the shuffle files that no plan refers to any more."""
-    spark._jvm.System.gc()
+    """Let the driver's collector run, after which Spark removes the shuffle files that no plan refers to any more.
+
+    What a plan holds goes in a second round, once the listeners have let go of
+    the query that used it.
+    """
+    for pause in (0.3, 0.1):
+        spark._jvm.System.gc()
+        time.sleep(pause)
