@@ -58,13 +58,13 @@ def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted:
     rows of a key meet once, and a hot key becomes many cells of bounded size.
     How large a key is, is told from one in TOLD ids: a cell may come out a
     little larger or smaller.  ``counted`` has the same keys where ``rows`` are
-    costly to make twice.  A row that no key matches keeps the plan the same
-    whether or not there are hot keys.
+    costly to make twice.  A row for key 0, in one block, keeps the plan the
+    same whether or not there are hot keys.
     """
     some = (rows if counted is None else counted).where(F.pmod(F.xxhash64(row_id, F.lit(TOLD)), F.lit(TOLD)) == 0)
     hot = some.groupBy(key).agg((F.count("*") * TOLD).alias("_n")).where(F.col("_n") > block)
-    hot = cut(hot.unionByName(rows.sparkSession.range(1).select(F.lit(None).cast("long").alias(key), F.lit(0).cast("long").alias("_n"))))
-    many = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
+    hot = cut(hot.unionByName(rows.sparkSession.range(1).select(F.lit(0).cast("long").alias(key), F.lit(0).cast("long").alias("_n"))))
+    many = F.greatest(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(row_id), many.cast("bigint")).cast("int")
     out = rows.join(hot, key, "left").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), many - 1)))
     i, j = F.least("_own", "_with"), F.greatest("_own", "_with")
