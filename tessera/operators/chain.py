@@ -8,11 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cross, series
-from ..functions.guards import INF, fin, power
+from ..functions.guards import INF, div, fin, power
 from ..plans.compile import Plan
 
 
@@ -235,6 +237,8 @@ def _upbound(df, k):
 
 
 #: Columns of the index instruments by name, as offsets from the first.
+#: Value of the book in signals, and steps of ``risk``.
+SHOWN, MATCHING = 1e5, 200
 INDEX = {"csi300": 1, "csi500": 0, "csi1000": 4, "csi2000": 5}
 
 
@@ -338,6 +342,72 @@ def _bounddvol(df, traded, booksize, share):
     return df.withColumn("value", F.when(F.col("_free"), raised).when(own, F.col("_b")).when(x.isNotNull(), 0.0)).select(kept)
 
 
+@op("rzrq")
+def _rzrq(df, price, close, member, booksize, ratio=1, index=0, start=5800):
+    """Shorts capped at the lots that an index quota lends; the index instrument takes the negative sum.
+
+    A member (percentage weight in ``member``) may be short ``ratio`` of the book by
+    its weight, in whole lots of 100 at the ``close`` of the day before; other shorts
+    become 0.  A short without a price or an earlier close stays.  The first day is left as it is.
+    """
+    scale, size = float(booksize) / SHOWN, float(ratio) * float(booksize)
+    k = int(start) + (INDEX[index] if index in INDEX else int(index))
+    price, weight = fin(F.col(price)), fin(F.col(member))
+    shares = div(val() * scale, price).try_cast("long")
+    quota = div(size * (weight / 100), fin(F.lag(close).over(history())))
+    quota = (quota / 100).try_cast("long") * 100
+    short = F.when((shares < 0) & (shares < -quota), -quota / scale * price).otherwise(val())
+    stock = F.col("ii") < int(start)
+    kept = df.columns
+    df = df.withColumn("_later", F.lag(F.lit(True), 1, False).over(history()))
+    df = df.withColumn("_v", F.when(F.col("_later") & stock & (fin(val()) < 0), F.when(weight.isNotNull(), short).otherwise(0.0)).otherwise(val()))
+    total = F.coalesce(F.sum(F.when(stock, fin(F.col("_v")))).over(day()), F.lit(0.0))
+    return df.withColumn("value", F.when(F.col("_later") & (F.col("ii") == k), -total).otherwise(F.col("_v"))).select(kept)
+
+
+def _matched(sig: np.ndarray, member: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Weights of one date whose exposures to the rows of ``factors`` move towards those of ``member``."""
+    with np.errstate(all="ignore"):
+        w = np.where(sig > 0, sig, 0.0)
+        w = w / w.sum()
+        known = np.isfinite(factors)
+        x = np.where(known, factors, 0.0)
+        n = known.sum(1, keepdims=True)
+        z = np.where(known, (factors - x.sum(1, keepdims=True) / n) / np.sqrt((x * x).sum(1, keepdims=True) / n), np.nan)
+        both = np.isfinite(member) & np.isfinite(z)
+        m = np.where(both, member, 0.0)
+        target = (m * np.where(both, z, 0.0)).sum(1) / m.sum(1)
+        for _ in range(MATCHING):
+            move = np.zeros_like(w)
+            for row, t in zip(z, target):
+                own = (w > 0) & np.isfinite(row)
+                a, s = w[own] / w[own].sum(), row[own]
+                lam = (s @ a - t) / (t * s.sum() - s @ s) / (2 * 20)
+                move[own] += (a + lam * s) / (1 + lam * s.sum()) - w[own]
+            w = np.where(w > 0, w + move / len(z), np.nan)
+            w[w <= 0] = np.nan
+    return w
+
+
+@op("risk")
+def _risk(df, member, *factors):
+    """Positive values as weights that take the factor exposures of the weights ``member``, in small steps; all others become missing.
+
+    Factors are shifted by their mean and divided by their root mean square over
+    the date.  The steps depend on one another, so a date is one numpy call;
+    its rows are the instruments.
+    """
+    names = list(factors)
+    if not names:
+        raise ValueError("risk needs a factor")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = rows[["value", member, *names]].astype("float64").to_numpy().T
+        return rows.assign(value=_matched(cells[0], cells[1], cells[2:]))
+
+    return df.groupBy("dti").applyInPandas(match, df.schema)
+
+
 def _trailing(name: str, more: int = 0):
     """A trailing operation: gaps of up to 60 rows filled, then the last rows from the first present one on, later missing ones skipped."""
 

@@ -551,6 +551,26 @@ def _regression(spark, sf):
 FOUND["expr_ts_reg_three"] = (_regression, _regression_sql(1))
 
 
+#: Signals, book and share of it that the quota lends, such that about half the shorts are cut.
+_BOOK, _LENT = 5e11, 2e-4
+_RZRQ = f"""WITH {QUOTES}, s AS (SELECT dti, ii, close, (1500 - close) / 1000 AS v, CASE WHEN st = 0 THEN shares END AS member, lag(close) OVER o AS before, row_number() OVER o > 1 AS later FROM quotes WINDOW o AS (PARTITION BY ii ORDER BY dti)),
+    l AS (SELECT *, trunc(v * {_BOOK / chain.SHOWN!r}::DOUBLE / close) AS held, trunc({_LENT * _BOOK!r}::DOUBLE * (member / 100) / before / 100) * 100 AS quota FROM s),
+    c AS (SELECT dti, ii, later, CASE WHEN NOT later OR ii >= 90 OR v IS NULL OR v >= 0 THEN v WHEN member IS NULL THEN 0 WHEN held < 0 AND held < -quota THEN -quota / {_BOOK / chain.SHOWN!r}::DOUBLE * close ELSE v END AS v FROM l)
+    SELECT dti, ii, round(CASE WHEN later AND ii = 90 THEN -coalesce(sum(CASE WHEN ii < 90 THEN v END) OVER (PARTITION BY dti), 0) ELSE v END, {PLACES}) + 0.0 AS value FROM c"""
+
+
+@query("op_rzrq", _RZRQ)
+def op_rzrq(spark, sf):
+    df = supplier_quotes(spark, sf).withColumn("value", (1500 - F.col("close")) / 1000).withColumn("member", F.when(F.col("st") == 0, F.col("shares")))
+    return chain.apply_chain(df, f"rzrq:close,close,member,{_BOOK!r},{_LENT!r},0,90").select("dti", "ii", "value")
+
+
+@query("op_risk", None)
+def op_risk(spark, sf):
+    df = _panel(spark, sf).select("dti", "ii", "ret", "y", F.col("x").alias("value"), (F.col("y") + 0.75).alias("member"))
+    return chain.apply_chain(df, "risk:member,ret,y").select("dti", "ii", "value")
+
+
 def queries() -> dict:
     return {name: run for name, (run, _) in FOUND.items()}
 

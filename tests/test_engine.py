@@ -45,6 +45,50 @@ def test_bounded_by_traded_value(spark):
     assert chain.apply_chain(p.limit(0), "bounddvol:d,1,1").count() == 0
 
 
+def test_quota_of_shorts(spark):
+    days = [[-4000.0, -1000.0, -50.0, 10.0, None], [-4000.0, -1000.0, -50.0, 10.0, 7.0]]
+    rows = [(d, i, v, 10.0 if i != 1 else None, None if i == 2 else 50.0) for d, day in enumerate(days) for i, v in enumerate(day)]
+    p = spark.createDataFrame(rows, "dti int, ii int, value double, price double, member double")
+    # book of 100000, two percent lent: 1000 by weight, a lot of 100 shares of 10; without a price a short stays
+    assert grid(chain.apply_chain(p, "rzrq:price,price,member,100000,0.02,0,4")) == [days[0], [-1000, -1000, 0, 10, 1990]]
+    assert chain.apply_chain(p.limit(0), "rzrq:price,price,member,1,1,0,4").count() == 0
+
+
+def matched(sig, member, factors, steps):
+    """Cell by cell: weights led towards the exposures of ``member``."""
+    whole = sum(v for v in sig if v and v > 0)
+    w = [v / whole if v and v > 0 else None for v in sig]
+    forms = []
+    for f in factors:
+        have = [v for v in f if v is not None]
+        mean, rms = sum(have) / len(have), (sum(v * v for v in have) / len(have)) ** 0.5
+        z = [None if v is None else (v - mean) / rms for v in f]
+        pairs = [(m, v) for m, v in zip(member, z) if m is not None and v is not None]
+        forms.append((z, sum(m * v for m, v in pairs) / sum(m for m, _ in pairs)))
+    for _ in range(steps):
+        moves = [0.0] * len(w)
+        for z, t in forms:
+            own = [i for i, v in enumerate(w) if v is not None and z[i] is not None]
+            total, zs, zz = sum(w[i] for i in own), sum(z[i] for i in own), sum(z[i] ** 2 for i in own)
+            lam = (sum(w[i] * z[i] for i in own) / total - t) / (t * zs - zz) / 40
+            for i in own:
+                moves[i] += (w[i] / total + lam * z[i]) / (1 + lam * zs) - w[i]
+        w = [None if v is None or v + m / len(forms) <= 0 else v + m / len(forms) for v, m in zip(w, moves)]
+    return [None if v is None else round(v, 6) for v in w]
+
+
+def test_matched_exposures(spark):
+    sig, member = [3.0, 2.0, 4.0, 1.0, -1.0, None, 2.0], [1.0, None, 2.0, 1.0, 3.0, 1.0, 0.5]
+    factors = [[0.5, 1.0, 2.0, None, 1.5, 0.2, 3.0], [2.0, 1.0, 1.0, 0.5, None, 4.0, 2.5]]
+    rows = [(0, i, *r) for i, r in enumerate(zip(sig, member, *factors))]
+    p = spark.createDataFrame(rows, "dti int, ii int, value double, m double, a double, b double")
+    assert grid(chain.apply_chain(p, "risk:m,a,b")) == [matched(sig, member, factors, chain.MATCHING)]
+    assert grid(chain.apply_chain(p.withColumn("value", F.lit(None).cast("double")), "risk:m,a")) == [[None] * 7]
+    assert chain.apply_chain(p.limit(0), "risk:m,a").count() == 0
+    with pytest.raises(ValueError):
+        chain.apply_chain(p, "risk:m")
+
+
 def test_gaps(spark):
     short, long = [[1], *[[None]] * 60, [62]], [[1], *[[None]] * 61, [63]]
     assert grid(evaluate(panel(spark, short), "(ts_mean x 62)"))[-1] == [31.5]
