@@ -10,10 +10,13 @@ from ..sources.panel import supplier_panel
 from .compile import evaluate
 
 PANEL = """cells AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS dti, l_suppkey AS ii,
-        sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem GROUP BY ALL),
+        sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(CAST(l_quantity AS BIGINT)) AS qty,
+        sum(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS fresh_cents,
+        sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'O') AS fresh_qty,
+        sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS back_qty FROM lineitem GROUP BY ALL),
     panel AS (SELECT CAST(d.dti AS INTEGER) AS dti, s.s_suppkey AS ii, CASE WHEN s_nationkey < 3 THEN -1 ELSE s_nationkey % 5 END AS g, s_acctbal > 0 AS univ,
-        CASE WHEN (d.dti * 7 + s.s_suppkey * 13) % 11 >= 3 THEN CAST(cents AS DOUBLE) / 100 / CAST(qty AS DOUBLE) / 1000.0123457::DOUBLE - 1.5 END AS x,
-        CASE WHEN (d.dti * 5 + s.s_suppkey * 3) % 13 >= 2 THEN CAST(qty AS DOUBLE) / 100.0123457::DOUBLE - 0.75 END AS y,
+        CAST(fresh_cents AS DOUBLE) / 100 / CAST(fresh_qty AS DOUBLE) / 1000.0123457::DOUBLE - 1.5 AS x,
+        CAST(back_qty AS DOUBLE) / 100.0123457::DOUBLE - 0.75 AS y,
         CAST(cents AS DOUBLE) / 100 / CAST(qty AS DOUBLE) / 100000.123457::DOUBLE - 0.015 AS ret
         FROM (SELECT DISTINCT dti FROM cells) d CROSS JOIN supplier s LEFT JOIN cells c ON c.dti = d.dti AND c.ii = s.s_suppkey)"""
 PLACES = 5

@@ -19,18 +19,24 @@ def densify(cells: DataFrame, instruments: DataFrame, date: str = "dti", key: st
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dti, ii, g, univ, x, y, ret): months by suppliers, from ``lineitem`` and ``supplier``.
 
-    x is a scaled mean price and y a scaled quantity, both with gaps; g is a
-    group, -1 for some; univ is the universe mask.  Sums are of whole numbers,
-    so they do not depend on their order.
+    x is the scaled mean price of open lines without a return (flag N, status O), y the
+    scaled quantity of returned lines (flag R), ret the scaled mean price of all; a month
+    without such lines is a gap.  g is a group, -1 for some; univ is the universe mask.
+    Sums are of whole numbers, so they do not depend on their order.
     """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
-    cells = items.groupBy(month.alias("dti"), F.col("l_suppkey").alias("ii")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+    cents, qty = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
+    fresh = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
+    cells = items.groupBy(month.alias("dti"), F.col("l_suppkey").alias("ii")).agg(
+        F.sum(cents).alias("cents"), F.sum(qty).alias("qty"), F.sum(F.when(fresh, cents)).alias("fresh_cents"), F.sum(F.when(fresh, qty)).alias("fresh_qty"),
+        F.sum(F.when(F.col("l_returnflag") == "R", qty)).alias("back_qty"),
+    )
     inst = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ii"), F.when(F.col("s_nationkey") < 3, -1).otherwise(F.col("s_nationkey") % 5).alias("g"), (F.col("s_acctbal") > 0).alias("univ"))
     grid = densify(cells, inst)
     price = F.col("cents").cast("double") / 100 / F.col("qty")
-    x = F.when((F.col("dti") * 7 + F.col("ii") * 13) % 11 >= 3, price / 1000.0123457 - 1.5)
-    y = F.when((F.col("dti") * 5 + F.col("ii") * 3) % 13 >= 2, F.col("qty").cast("double") / 100.0123457 - 0.75)
+    x = F.col("fresh_cents").cast("double") / 100 / F.col("fresh_qty") / 1000.0123457 - 1.5
+    y = F.col("back_qty").cast("double") / 100.0123457 - 0.75
     return grid.select("dti", "ii", "g", "univ", x.alias("x"), y.alias("y"), (price / 100000.123457 - 0.015).alias("ret"))
 
 
