@@ -30,8 +30,12 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    return written(df)[0]
+def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """The table as written; its path goes to ``made``, for a later drop."""
+    out, path = written(df)
+    if made is not None:
+        made.append(path)
+    return out
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
