@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, langid, lines, manifest, minhash, mixing, quality, secrets, toxicity, vectors
+from . import bpe, chat, codes, langid, lines, lm, manifest, minhash, mixing, quality, secrets, toxicity, vectors
 
 #: Vocabulary of the encoding query.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -113,8 +113,12 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(steady(spark), sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def queries() -> dict:
-    found = (op1_near_vectors, op2_near_documents, op3_mix_sources, op4_language, op5_toxicity, op6_byte_bpe, op7_tool_links, op8_line_dedup, op9_secrets, op10_quality, op11_vector_codes, op12_manifest)
+    found = (op1_near_vectors, op2_near_documents, op3_mix_sources, op4_language, op5_toxicity, op6_byte_bpe, op7_tool_links, op8_line_dedup, op9_secrets, op10_quality, op11_vector_codes, op12_manifest, op13_lm_score)
     return {f.__name__: f for f in found}
 
 
