@@ -9,6 +9,7 @@ missing cells.  Both give NULL where today's cell is missing.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, WindowSpec
@@ -25,6 +26,8 @@ class Frame:
     over: WindowSpec
     raw: bool
     begin: Column | None = None  # row number of the frame's first row, where it is not the window's
+    line: WindowSpec | None = None  # the window without its frame
+    keep: Callable[[Column], Column] | None = None  # makes a column of its own, for windows over windows
 
     def agg(self, c: Column) -> Column:
         return c.over(self.over)
@@ -83,34 +86,27 @@ def delta(f, s):
     return f.x - f.agg(F.first(f.x))
 
 
-def _corr(f, x, y):
-    """Pearson from centred sums over pairs that both sides have; NULL below two pairs or without variance."""
-    pairs = F.filter(f.cells(x, y), lambda e: e["c0"].isNotNull() & e["c1"].isNotNull())
-    n = F.size(pairs)
-    total = lambda get: F.aggregate(pairs, F.lit(0.0), lambda a, e: a + get(e))
-    mx, my = total(lambda e: e["c0"]) / F.when(n > 0, n), total(lambda e: e["c1"]) / F.when(n > 0, n)
-    sxy, sxx, syy = total(lambda e: (e["c0"] - mx) * (e["c1"] - my)), total(lambda e: (e["c0"] - mx) * (e["c0"] - mx)), total(lambda e: (e["c1"] - my) * (e["c1"] - my))
-    return F.when((n > 1) & (sxx > 1e-18) & (syy > 1e-18), sxy / F.sqrt(F.when(sxx * syy > 0, sxx * syy)))
+def _corr(over: WindowSpec, x: Column, y: Column) -> Column:
+    """Pearson over pairs that both sides have; NULL below two pairs or without variance."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    n, sxx, syy = F.count(x).over(over), F.var_pop(x).over(over), F.var_pop(y).over(over)
+    some = (n > 1) & (n * sxx > 1e-18) & (n * syy > 1e-18)
+    return F.when(some, F.covar_pop(x, y).over(over) / F.sqrt(F.when(sxx * syy > 0, sxx * syy)))
 
 
 def corr(f, s):
-    return _corr(f, f.x, f.y)
+    return _corr(f.over, f.x, f.y)
 
 
 def corr_step(f, s):
-    return _corr(f, f.x, f.t.cast("double"))
+    return _corr(f.over, f.x, f.t.cast("double"))
 
 
 def auto_corr(f, s):
-    cells, lag = F.transform(f.cells(f.x), lambda e: e["c0"]), int(s[1])
-    n = F.size(cells)
-    late, early = F.slice(cells, lag + 1, F.greatest(n - lag, F.lit(0))), F.slice(cells, 1, F.greatest(n - lag, F.lit(0)))
-    pairs = F.filter(F.arrays_zip(early.alias("a"), late.alias("b")), lambda e: e["a"].isNotNull() & e["b"].isNotNull())
-    k = F.size(pairs)
-    total = lambda get: F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + get(e))
-    ma, mb = total(lambda e: e["a"]) / F.when(k > 0, k), total(lambda e: e["b"]) / F.when(k > 0, k)
-    sab, saa, sbb = total(lambda e: (e["a"] - ma) * (e["b"] - mb)), total(lambda e: (e["a"] - ma) * (e["a"] - ma)), total(lambda e: (e["b"] - mb) * (e["b"] - mb))
-    return F.when((k > 1) & (saa > 1e-18) & (sbb > 1e-18), sab / F.sqrt(F.when(saa * sbb > 0, saa * sbb)))
+    """Of each row with the one ``s[1]`` rows before it, over the last ``s[0]`` rows."""
+    early = f.keep(F.lag(f.x, int(s[1])).over(f.line))
+    return _corr(f.line.rowsBetween(1 - int(s[0]), 0), early, f.x)
 
 
 def cov(f, s):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import cross, series
 from ..functions.guards import INF, div, fin, power
 from ..plans.compile import Plan
+from . import carry
 
 
 def val() -> Column:
@@ -267,15 +268,26 @@ def _hedgesig(df, ii):
     return df.withColumn("value", F.when(by.isNotNull(), val() - by).otherwise(val()))
 
 
-def _smoothed(x: Column, segment: list, r: float) -> Column:
+def _smoothed(plan: Plan, x: Column, segment: list, r: float) -> Column:
     """acc = x * r + acc * (1 - r) along a segment's rows, from its first row on.
 
-    Rows so far back that their weight is below what a double holds beside the
-    rest are left out, so the frame is bounded.
+    A running sum of x / (1 - r)^t gives it at the cost of one row, whatever r is.  The
+    powers start again in each block of rows that they may reach 1e100 in; what a
+    block takes over is the end of the one before, as the blocks before that one
+    weigh less than a double holds.
     """
-    back = max(1, math.ceil(-45 / math.log(1 - r))) if 0 < r < 1 else 1
-    cells = F.collect_list(F.struct(x.alias("x"))).over(Window.partitionBy("ii", *segment).orderBy("dti").rowsBetween(-back, 0))
-    return F.aggregate(cells, F.lit(None).cast("double"), lambda acc, e: F.when(acc.isNull(), e["x"]).otherwise(e["x"] * r + acc * (1 - r)))
+    own = Window.partitionBy("ii", *segment).orderBy("dti")
+    if not 0 < r < 1:
+        return x if r == 1 else F.first(x).over(own)
+    q = 1 - r
+    rows = max(1, int(100 * math.log(10) / -math.log(q)))
+    t = plan.keep(F.row_number().over(own) - 1)
+    block, at = plan.keep(F.floor(t / rows)), plan.keep(F.pmod(t, F.lit(rows)).cast("double"))
+    scaled = F.when(t == 0, x / r).otherwise(x) * F.pow(F.lit(1 / q), at)
+    line = Window.partitionBy("ii", *segment, block).orderBy("dti").rowsBetween(Window.unboundedPreceding, 0)
+    here = plan.keep(F.sum(scaled).over(line) * r * F.pow(F.lit(q), at))
+    before = F.last(F.when(at == rows - 1, here), True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return here + F.coalesce(before * F.pow(F.lit(q), at + 1), F.lit(0.0))
 
 
 @op("expdecay")
@@ -284,7 +296,8 @@ def _expdecay(df, r):
     plan = Plan(df, None)
     x = plan.keep(fin(val()))
     run = plan.keep(F.count(F.when(x.isNull(), 1)).over(history().rowsBetween(Window.unboundedPreceding, 0)))
-    return plan.df.withColumn("value", F.when(x.isNotNull(), fin(_smoothed(x, [run, x.isNull()], float(r))))).select(df.columns)
+    out = _smoothed(plan, x, [run, plan.keep(x.isNull())], float(r))
+    return plan.df.withColumn("value", F.when(x.isNotNull(), fin(out))).select(df.columns)
 
 
 @op("sexpdecay")
@@ -294,7 +307,8 @@ def _sexpdecay(df, r):
     x = plan.keep(fin(val()))
     t = plan.keep(F.row_number().over(history()))
     full = plan.keep(plan.filled(x, t, history(), math.inf))
-    return plan.df.withColumn("value", F.when(x.isNotNull(), fin(_smoothed(full, [full.isNull()], float(r))))).select(df.columns)
+    out = _smoothed(plan, full, [plan.keep(full.isNull())], float(r))
+    return plan.df.withColumn("value", F.when(x.isNotNull(), fin(out))).select(df.columns)
 
 
 @op("boundsize")
@@ -365,6 +379,44 @@ def _rzrq(df, price, close, member, booksize, ratio=1, index=0, start=5800):
     return df.withColumn("value", F.when(F.col("_later") & (F.col("ii") == k), -total).otherwise(F.col("_v"))).select(kept)
 
 
+def _at_limit(c: Column) -> Column:
+    return F.col("halt") | (c >= F.col("limit_up")) | (c <= F.col("limit_down"))
+
+
+@op("limit")
+def _limit(df, up="limit_up_flag", down="limit_down_flag", price="price", booksize=1e9):
+    """Halted cells and those flagged at a limit keep their shares; the rest fills the book, in lots."""
+    df, kept = carry.carried_price(df, price, "_price"), df.columns
+    return carry.limited(df, F.col("halt") | F.col(up) | F.col(down), float(booksize), "_price").select(kept)
+
+
+@op("limitrd")
+def _limitrd(df, booksize=SHOWN, price="price"):
+    """As ``limit``, with the limits told from the price, limit_up and limit_down."""
+    df, kept = carry.carried_price(df, price, "_price"), df.columns
+    return carry.limited(df, _at_limit(F.col("_price")), float(booksize), "_price").select(kept)
+
+
+@op("limitadj")
+def _limitadj(df, price="price"):
+    return _limitrd(df, 1e9, price)
+
+
+@op("adjwt")
+def _adjwt(df, quota, least, most, similarity, step):
+    """Shorts within a quota (column ``quota``) by a factor of the date, longs to offset them; halted cells keep their weight."""
+    return carry.adjusted_weights(df, F.col("halt"), F.col(quota), *map(float, (least, most, similarity, step)))
+
+
+@op("adjwtlimit")
+def _adjwtlimit(df, quota, least, most, similarity, step):
+    """As ``adjwt``, and cells that closed at a limit the day before keep their weight too."""
+    was = lambda c: F.lag(c).over(history())
+    df, kept = df.withColumn("_stuck", (was("close") > was("limit_up") * 0.999) | (was("close") < was("limit_down") * 1.001)), df.columns
+    locked = F.coalesce("halt", F.lit(False)) | F.coalesce("_stuck", F.lit(False))
+    return carry.adjusted_weights(df, locked, F.col(quota), *map(float, (least, most, similarity, step))).select(kept)
+
+
 def _matched(sig: np.ndarray, member: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Weights of one date whose exposures to the rows of ``factors`` move towards those of ``member``."""
     with np.errstate(all="ignore"):

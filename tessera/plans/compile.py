@@ -100,13 +100,14 @@ class Plan:
         own = Window.partitionBy(self.key).orderBy(self.date)
         t = self.keep(F.row_number().over(own))
         if raw:
-            frame = Frame(now[0], now[1] if len(now) > 1 else None, t, own.rowsBetween(1 - rows, 0), True)
+            frame = Frame(now[0], now[1] if len(now) > 1 else None, t, own.rowsBetween(1 - rows, 0), True, None, own, self.keep)
             return self.keep(real(build(frame, s)) if any_value else F.when(now[0].isNotNull(), real(build(frame, s))))
         filled = [self.keep(self.filled(x, t, own)) for x in now]
         gap = filled[0].isNull() if len(filled) == 1 else filled[0].isNull() | filled[1].isNull()
         seg = self.keep(F.sum(gap.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
         broken = self.keep(gap)
-        frame = Frame(filled[0], filled[1] if len(filled) > 1 else None, t, Window.partitionBy(self.key, seg, broken).orderBy(self.date).rowsBetween(1 - rows, 0), False)
+        line = Window.partitionBy(self.key, seg, broken).orderBy(self.date)
+        frame = Frame(filled[0], filled[1] if len(filled) > 1 else None, t, line.rowsBetween(1 - rows, 0), False, None, line, self.keep)
         valid = now[0].isNotNull() if len(now) == 1 else now[0].isNotNull() & now[1].isNotNull()
         return self.keep(F.when(valid, real(build(frame, s))))
 

@@ -224,7 +224,7 @@ def universe_intersect(spark, sf):
 @query("universe_except", f"{_SETS} SELECT * FROM a EXCEPT SELECT * FROM b")
 def universe_except(spark, sf):
     a, b = _two(spark, sf)
-    return a.exceptAll(b)
+    return a.subtract(b)
 
 
 @query("rows_in_universe", f"{_SCREEN} SELECT q.dti, q.ii, round(q.close, {PLACES}) + 0.0 AS close FROM quotes q SEMI JOIN (SELECT * FROM u WHERE in_univ = 1) v ON q.dti = v.dti AND q.ii = v.ii")
@@ -335,11 +335,9 @@ _ALPHAS = "x", "y"
 
 def _ics(spark, sf):
     """The daily cosine of some signals with the returns, as a registry of series would store them."""
-    panel, out = _panel(spark, sf), None
-    for name, value in (("x", F.col("x")), ("y", F.col("y")), ("xy", F.col("x") * F.col("y")), ("size", F.abs("x"))):
-        part = panel.groupBy("dti").agg(F.sum(value * F.col("ret")).alias("value")).select(F.lit(name).alias("name"), F.lit(f"tag_{name}").alias("tag"), "dti", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    values = {"x": F.col("x"), "y": F.col("y"), "xy": F.col("x") * F.col("y"), "size": F.abs("x")}
+    days = _panel(spark, sf).groupBy("dti").agg(*(F.sum(v * F.col("ret")).alias(k) for k, v in values.items()))
+    return days.unpivot("dti", list(values), "name", "value").select("name", F.concat(F.lit("tag_"), "name").alias("tag"), "dti", "value")
 
 
 _STORED = ", ".join(f"('{n}', {e})" for n, e in (("x", "0"), ("y", "1"), ("xy", "2"), ("size", "3")))
@@ -496,14 +494,18 @@ SQL = {
 
 FOUND["op_flip"] = (base._chain("flip"), base._chain_sql("-x"))
 
-#: Cells missing over 66 months for some, more than is filled.
-_GAPPED = ", gapped AS (SELECT dti, ii, CASE WHEN NOT (ii % 2 = 0 AND dti BETWEEN 8 AND 73) THEN x END AS x FROM panel)"
+#: A signal that is silent between the months of an instrument's largest and smallest y: gaps of all lengths, for some more than is filled.
+_GAPPED = """, reached AS (SELECT ii, arg_max(dti, (y, -dti)) AS a, arg_min(dti, (y, dti)) AS b FROM panel WHERE y IS NOT NULL GROUP BY ii),
+    gapped AS (SELECT dti, p.ii, CASE WHEN coalesce(dti <= least(a, b) OR dti >= greatest(a, b), true) THEN x END AS x FROM panel p LEFT JOIN reached USING (ii))"""
 
 
 def _gapped(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hole = (F.col("ii") % 2 == 0) & F.col("dti").between(8, 73)
-        df = supplier_panel(spark, sf_dir).withColumn("value", F.when(~hole, F.col("x")))
+        df, own = supplier_panel(spark, sf_dir), Window.partitionBy("ii")
+        known = F.col("y").isNotNull()
+        df = df.withColumn("_a", F.max_by("dti", F.when(known, F.struct("y", -F.col("dti")))).over(own)).withColumn("_b", F.min_by("dti", F.when(known, F.struct("y", "dti"))).over(own))
+        outside = F.coalesce((F.col("dti") <= F.least("_a", "_b")) | (F.col("dti") >= F.greatest("_a", "_b")), F.lit(True))
+        df = df.withColumn("value", F.when(outside, F.col("x"))).drop("_a", "_b")
         return chain.apply_chain(df, text).select("dti", "ii", base._shown(F.col("value")).alias("value"))
 
     return run

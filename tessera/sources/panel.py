@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,13 +62,38 @@ def supplier_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.withColumn("listed", F.col("dti") >= 1 + F.col("ii") % 5).withColumn("st", F.when(at % 17 == 0, 1).when(at % 5 != 0, 0))
 
 
+def filled_in(template: str, day: str) -> str:
+    return template.format(yyyy=day[:4], mm=day[4:6], dd=day[6:])
+
+
+def day_of(path: Column, template: str) -> Column:
+    """The yyyymmdd that a path has where ``template`` has {yyyy}, {mm} and {dd}; each may come more than once."""
+    kinds, places = {"{yyyy}": 4, "{mm}": 2, "{dd}": 2}, []
+    pattern = ""
+    for part in re.split(r"(\{yyyy\}|\{mm\}|\{dd\})", template):
+        if part in kinds:
+            places.append(part)
+            pattern += f"(\\d{{{kinds[part]}}})"
+        else:
+            pattern += re.escape(part)
+    return F.concat(*(F.regexp_extract(path, pattern + "$", places.index(k) + 1) for k in kinds))
+
+
 def read_templated(spark: SparkSession, template: str, days: list[str], **options) -> DataFrame:
-    """Delimited files of some days, with ``day``; ``template`` holds {yyyy}, {mm} and {dd}, and days are yyyymmdd."""
-    df = None
+    """Delimited files of some days, with ``day``; ``template`` holds {yyyy}, {mm} and {dd}, and days are yyyymmdd.
+
+    One scan over all paths, of which each row's says its day; columns go by the first
+    file's header.  Days without a file have no rows.
+    """
+    paths = []
     for d in days:
-        part = spark.read.options(header=True, **options).csv(template.format(yyyy=d[:4], mm=d[4:6], dd=d[6:])).withColumn("day", F.lit(d))
-        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
-    return df
+        path = spark._jvm.org.apache.hadoop.fs.Path(filled_in(template, d))
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            paths.append(path.toString())
+    if not paths:
+        raise FileNotFoundError(f"no day of {template}")
+    df = spark.read.options(header=True, **options).csv(paths)
+    return df.select("*", day_of(F.col("_metadata.file_path"), template.rsplit("/", 1)[-1] if "{" in template.rsplit("/", 1)[-1] else template).alias("day"))
 
 
 def read_positions(spark: SparkSession, path: str, instruments: DataFrame, date: str = "dti") -> DataFrame:
@@ -91,9 +118,21 @@ def trade_calendar(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.expr("try_cast(split(value, ',')[0] as int)").alias("dt")).where("dt is not null").distinct()
 
 
-def listing(instruments: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(dt, ii): instruments (ii, list, delist) on the dates of [list, delist); a NULL delist never ends."""
-    return calendar.join(instruments, (F.col("dt") >= F.col("list")) & (F.col("dt") < F.coalesce("delist", F.lit(99999999)))).select("dt", "ii")
+def listing(instruments: DataFrame, calendar: DataFrame, parts: int = 64) -> DataFrame:
+    """(dt, ii): instruments (ii, list, delist) on the dates of [list, delist); a NULL delist never ends.
+
+    The calendar is cut into ``parts`` stretches; an instrument has a row for each
+    stretch it is listed in, which meet the dates by an equal join.
+    """
+    first, last = calendar.agg(F.min("dt"), F.max("dt")).first()
+    if first is None:
+        return calendar.select("dt").join(instruments.select("ii").limit(0), how="cross")
+    width = max(1, -(-(last - first + 1) // parts))
+    part = lambda c: F.floor((c - F.lit(first)) / width).cast("int")
+    begin, end = F.greatest("list", F.lit(first)), F.least(F.coalesce("delist", F.lit(last + 1)) - 1, F.lit(last))
+    spans = instruments.where((F.col("list").isNotNull()) & (begin <= end)).withColumn("_part", F.explode(F.sequence(part(begin), part(end))))
+    found = calendar.withColumn("_part", part(F.col("dt"))).join(spans, "_part")
+    return found.where((F.col("dt") >= F.col("list")) & (F.col("dt") < F.coalesce("delist", F.lit(last + 1)))).select("dt", "ii")
 
 
 def write_range(panel: DataFrame, path: str, date: str = "dti") -> None:
