@@ -49,14 +49,10 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").isEmpty()
 
 
-def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
-    """Deal each key's rows to cells: ``rows`` with (cell, side), sorted by cell inside its partitions.
+def dealt(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` with _many, how many blocks their key is dealt to, and _own, the row's block.
 
-    A key of n rows has b = ceil(n / block) blocks and a cell for each pair of
-    them, the pair of a block with itself included.  Side 0 marks a block with
-    itself; else the pairs of interest are those of side 1 with side 2.  So two
-    rows of a key meet once, and a hot key becomes many cells of bounded size.
-    How large a key is, is told from one in TOLD ids: a cell may come out a
+    How large a key is, is told from one in TOLD ids: a block may come out a
     little larger or smaller.  ``counted`` has the same keys where ``rows`` are
     costly to make twice.  A row for key 0, in one block, keeps the plan the
     same whether or not there are hot keys.
@@ -64,14 +60,71 @@ def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted:
     some = (rows if counted is None else counted).where(F.pmod(F.xxhash64(row_id, F.lit(TOLD)), F.lit(TOLD)) == 0)
     hot = some.groupBy(key).agg((F.count("*") * TOLD).alias("_n")).where(F.col("_n") > block)
     hot = cut(hot.unionByName(rows.sparkSession.range(1).select(F.lit(0).cast("long").alias(key), F.lit(0).cast("long").alias("_n"))))
-    many = F.greatest(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64(row_id), many.cast("bigint")).cast("int")
-    out = rows.join(hot, key, "left").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), many - 1)))
+    out = rows.join(hot, key, "left").withColumn("_many", F.coalesce(F.greatest(F.ceil(F.col("_n") / block), F.lit(1)), F.lit(1)).cast("int"))
+    return out.withColumn("_own", F.pmod(F.xxhash64(row_id), F.col("_many").cast("bigint")).cast("int")).drop("_n")
+
+
+def celled(rows: DataFrame, key: str, row_id: str, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
+    """Deal each key's rows to cells: ``rows`` with (cell, side), sorted by cell inside its partitions.
+
+    A key of n rows has b = ceil(n / block) blocks and a cell for each pair of
+    them, the pair of a block with itself included.  Side 0 marks a block with
+    itself; else the pairs of interest are those of side 1 with side 2.  So two
+    rows of a key meet once, and a hot key becomes many cells of bounded size.
+    """
+    out = dealt(rows, key, row_id, block, counted).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
     i, j = F.least("_own", "_with"), F.greatest("_own", "_with")
-    cell = F.when(F.col("_n").isNull(), F.col(key)).otherwise(F.xxhash64(key, i, j))
+    cell = F.when(F.col("_many") == 1, F.col(key)).otherwise(F.xxhash64(key, i, j))
     side = F.when(F.col("_own") == F.col("_with"), 0).when(F.col("_own") < F.col("_with"), 1).otherwise(2)
-    out = out.withColumn("cell", cell).withColumn("side", side.cast("tinyint")).drop(key, "_own", "_with", "_n")
-    return out.repartition("cell").sortWithinPartitions("cell")
+    return sorted_cells(out.withColumn("cell", cell).withColumn("side", side.cast("tinyint")).drop(key, "_own", "_with", "_many"))
+
+
+def sorted_cells(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell")
+
+
+def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with comp, the component of their id; an id of its own has none in ``found``."""
+    return rows.join(found.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def linked(rows: DataFrame, key: str, links: Callable[[DataFrame], DataFrame], block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
+    """(id, component_id): what the links among rows (key, id, ...) of one key connect, all of them.
+
+    ``links`` takes rows with (cell, side) and gives edges (a, b) that connect what is
+    linked inside the cells.  First each block of a key meets itself.  Of keys with several
+    blocks, one row of each component then meets those of the others; and where a key
+    still holds two components, its rows meet those of other components.  Pairs that are
+    connected by then need no check, so a group of rows that are alike ends after the
+    second step; one whose rows are not costs all its pairs.
+    """
+    now = dealt(rows, key, "id", block, counted)
+    cell = F.when(F.col("_many") == 1, F.col(key)).otherwise(F.xxhash64(key, "_own"))
+    inside = now.withColumn("cell", cell).withColumn("side", F.lit(0).cast("tinyint"))
+    found = cut(components(links(sorted_cells(inside.drop(key, "_own", "_many")))))
+    crowd = cut(now.where("_many > 1").drop("_own", "_many"))
+    if crowd.isEmpty():
+        return found
+    again = lambda edges: cut(components(edges.unionByName(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))))
+    first = with_component(crowd.select(key, "id"), found).groupBy(key, "comp").agg(F.min("id").alias("id")).drop("comp")
+    found = again(links(celled(crowd.join(first, [key, "id"]), key, "id", block)))
+    state = cut(with_component(crowd.select(key, "id"), found))
+    parts = state.groupBy(key, "comp").agg(F.count("*").alias("_m"))
+    open_ = parts.groupBy(key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.sum(F.when(F.col("_m") < block, F.col("_m"))).alias("_rest")).where("_lo <> _hi")
+    # blocks of one component, and such as pool the small ones
+    parts = cut(parts.join(open_.select(key, "_rest"), key))
+    if parts.isEmpty():
+        return found
+    pure = F.col("_m") >= block
+    place = F.when(pure, F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("_m") / block)))).otherwise(F.pmod(F.xxhash64("comp"), F.greatest(F.ceil(F.col("_rest") / block), F.lit(1))))
+    state = cut(state.join(parts, [key, "comp"]).select(key, "id", place.alias("_at"), F.when(pure, F.col("comp")).alias("_pure")))
+    blocks = state.select(key, "_at", "_pure").distinct()
+    other = blocks.select(key, F.col("_at").alias("_to"), F.col("_pure").alias("_as"))
+    meet = blocks.join(other, key).where("_at <= _to and not coalesce(_pure = _as, false)").withColumn("cell", F.xxhash64(key, "_at", "_to"))
+    same = F.col("_at") == F.col("_to")
+    ends = meet.select(key, "_at", "cell", F.when(same, 0).otherwise(1).cast("tinyint").alias("side")).unionByName(meet.where(~same).select(key, F.col("_to").alias("_at"), "cell", F.lit(2).cast("tinyint").alias("side")))
+    met = state.drop("_pure").join(ends, [key, "_at"]).join(crowd, [key, "id"]).drop(key, "_at")
+    return again(links(sorted_cells(met)))
 
 
 def bounds_of(column: np.ndarray) -> np.ndarray:
@@ -152,7 +205,10 @@ def edges_of(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
 def sketches(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit words of all rows' binary column s, bounds of each row's)."""
     s = table.column("s").combine_chunks()
-    s = s.chunk(0) if isinstance(s, pa.ChunkedArray) else s
+    if isinstance(s, pa.ChunkedArray):
+        if s.num_chunks > 1:
+            raise ValueError("a cell of more than 2 GB of sketches")
+        s = s.chunk(0)
     _, ends, data = s.buffers()
     ends = np.frombuffer(ends, np.int32)[s.offset : s.offset + len(s) + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64), (ends - ends[0]) // 8

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .graph import BLOCK, binaries, celled, clusters, components, edges_of, merged, sketches, whole_cells
+from .graph import BLOCK, binaries, clusters, edges_of, linked, merged, sketches, whole_cells
 from .store import cut, drop, written
 
 #: Components of a signature, of a chunk, and those that may differ.
@@ -164,14 +164,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: t
     wanted = classes.select("id", "first.*").join(member, "id")
     texts = docs.select("doc_id", digest_of, "text").join(wanted, ["doc_id", "t"]).select("id", "cluster", "text")
     sets, sets_path = written(texts.mapInArrow(lambda it: _sets(it, width), "id long, cluster long, s binary").groupBy("id", "cluster").agg(F.first("s").alias("s")))
-    cells = celled(sets, "cluster", "id", BLOCK // 4, member).select("cell", "side", "id", "s")
-    found = cut(components(cells.mapInArrow(lambda it: _links(it, percent), "a long, b long")))
+    check = lambda cells: cells.select("cell", "side", "id", "s").mapInArrow(lambda it: _links(it, percent), "a long, b long")
+    found = linked(sets, "cluster", check, BLOCK // 4, member)
     drop(spark, sets_path)
-    linked = classes.select("id", "f1", "f2", "n_shingles", F.col("first.doc_id").alias("doc")).join(found, "id")
-    least = linked.groupBy("component_id").agg(F.min("doc").alias("least"))
-    linked = cut(linked.join(least, "component_id").select("f1", "f2", "n_shingles", "least"))
+    named = classes.select("id", "f1", "f2", "n_shingles", F.col("first.doc_id").alias("doc")).join(found, "id")
+    least = named.groupBy("component_id").agg(F.min("doc").alias("least"))
+    named = cut(named.join(least, "component_id").select("f1", "f2", "n_shingles", "least"))
     alone = classes.join(found, "id", "left_anti").select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("least"))
-    out = made.select("doc_id", "n_shingles", "f1", "f2", *held).join(linked.unionByName(alone), ["f1", "f2", "n_shingles"], "left")
+    out = made.select("doc_id", "n_shingles", "f1", "f2", *held).join(named.unionByName(alone), ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == component))
     return out.select("doc_id", "n_shingles", "component_id", "kept", *(F.col(h).alias(c) for c, h in zip(carry, held)))
