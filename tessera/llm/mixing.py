@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered, prefix_sums
 from .store import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of the random key per source; each holds that share of a source's rows.
-RANGES = 1024
+#: A source with more than this share of the rows is joined by broadcast; there are fewer of them than its inverse.
+HOT_SHARE = 0.001
 
 
 def level(sources: DataFrame, limit: int) -> float:
@@ -28,13 +29,16 @@ def level(sources: DataFrame, limit: int) -> float:
         rate, capped = (total - given) / free, n
 
 
-def placed(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with place, their number from 0 in the order of the distinct ``key``: ranges, then rows inside each."""
-    rows = cut(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
-    # one row per range
-    starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return rows.withColumn("place", inside).join(starts, "_range").withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_n", "_before")
+def targets(totals: DataFrame, weights: tuple[int, ...], limit: int, made: list[str]) -> DataFrame:
+    """(src, whole, target, copies, rest) of sources (src, whole): whole passes over a source, and words of the next one."""
+    sources = numbered(totals, "src", made)
+    turn = (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int")
+    sources = cut(sources.select("src", F.col("whole").alias("source_size"), F.element_at(F.array(*map(F.lit, weights)), turn).cast("long").alias("weight")), made)
+    rate = level(sources, limit)
+    size, goal = F.col("source_size"), F.least(F.col("weight") * F.lit(rate), F.col("source_size").cast("double") * limit)
+    copies = F.when(size > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0).cast("long")
+    sources = sources.withColumn("target", goal).withColumn("copies", copies)
+    return sources.select("src", size.alias("whole"), "target", "copies", (F.round("target").cast("long") - F.col("copies") * size).alias("rest"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -47,23 +51,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
     passes, then the first ``part`` words of this row in the last pass.
     Null or blank texts have size 0 and are not taken.  Rows that repeat a
     doc_id are documents of their own; equal rows are interchangeable.  The
-    columns ``carry`` of each row come along.
+    columns ``carry`` of each row come along.  ``docs`` is read twice.
+
+    Rows equal in id and text count together, so the sums are over groups of them, in
+    ranges; a source's cut is one place in that order, and only the equal rows at
+    that place need numbers of their own.  Rows meet their source by broadcast where it
+    holds more than a share HOT_SHARE of the rows.
     """
-    made = docs.select(*(F.col(c).alias(f"_carry_{c}") for c in carry), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("src"), F.xxhash64("text").alias("_text"))
-    made = cut(made.withColumn("rank", F.xxhash64("doc_id", "_text", F.lit(seed))).withColumn("part_of", F.pmod(F.shiftright("rank", 32), F.lit(RANGES)).cast("int")).drop("_text"))
-    sums = cut(made.groupBy("src", "part_of").agg(F.sum("size").alias("held")))
-    sources = sums.groupBy("src").agg(F.sum("held").alias("source_size"))
-    turn = F.pmod(F.col("place"), F.lit(len(weights)))
-    sources = cut(placed(sources, "src").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")))
-    rate = level(sources, limit)
-    sources = sources.withColumn("target", F.least(F.col("weight") * F.lit(rate), F.col("source_size").cast("double") * limit))
-    budget = F.round("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0).cast("long")
-    sources = sources.withColumn("copies", passes).withColumn("rest", budget - F.col("copies") * F.col("source_size"))
-    before = F.sum("held").over(Window.partitionBy("src").orderBy("part_of")) - F.col("held")
-    starts = sums.withColumn("before", before).join(sources, "src")
-    inside = F.sum("size").over(Window.partitionBy("src", "part_of").orderBy("rank", "doc_id", "size", *(f"_carry_{c}" for c in carry)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    out = made.withColumn("inside", inside).join(starts, ["src", "part_of"])
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
-    out = out.withColumn("part", part.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"), "part", *(F.col(f"_carry_{c}").alias(c) for c in carry))
+    made: list[str] = []
+    held = {f"_carry_{c}": F.col(c) for c in carry}
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    src = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
+    rows = docs.select(*(c.alias(n) for n, c in held.items()), "doc_id", size.alias("size"), src.alias("src"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("rank"))
+    groups = rows.groupBy("src", "rank", "doc_id", "size").agg(F.count("*").alias("many"))
+    words = F.col("size") * F.col("many")
+    groups = cut(prefix_sums(groups, "src", words, ["rank", "doc_id", "size"], made, lambda totals: targets(totals, weights, limit, made)), made)
+    first = F.min(F.when(F.col("before") + words > F.col("rest"), F.struct("rank", "doc_id", "size", "before", "many")))
+    sources = cut(groups.groupBy("src").agg(F.first("whole").alias("source_size"), F.first("target").alias("target"), F.first("copies").alias("copies"), F.first("rest").alias("rest"), F.sum("many").alias("rows"), first.alias("at")), made)
+    least = F.lit(HOT_SHARE * (sources.agg(F.sum("rows")).first()[0] or 0))
+    hot, cold = F.broadcast(sources.where(F.col("rows") > least)), sources.where(F.col("rows") <= least)
+    out = rows.join(hot, "src").unionByName(rows.join(hot, "src", "left_anti").join(cold, "src"))
+    place, at = F.struct("rank", "doc_id", "size"), F.struct("at.rank", "at.doc_id", "at.size")
+    left = F.col("rest") - F.col("at.before")
+    among = place.eqNullSafe(at) & (F.col("at.many") > 1)
+    part = F.when(F.col("at").isNull(), 0).when(place.eqNullSafe(at), left).when(place < at, F.col("size")).otherwise(0).cast("long")
+    several = prefix_sums(out.where(among), "src", F.col("size"), [*held, "size"], made)
+    several = several.withColumn("part", F.greatest(F.lit(0), F.least("size", left - F.col("before")))).drop("before", "whole")
+    out = out.where(~F.coalesce(among, F.lit(False))).withColumn("part", part).unionByName(several)
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(0)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), copies.alias("copies"), "part", *(F.col(n).alias(c) for n, c in zip(held, carry)))

@@ -36,7 +36,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(steady(spark), sf_dir, "documents")
-    held = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
     out = langid.identify(docs, docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     return out.select("doc_id", held, "lang_pred", "score")
 
@@ -47,7 +47,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the sample is drawn among the labels, so that only its texts are fetched
     few = labels.where("toxic is not null").where(rest != 2).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(toxicity.SAMPLE)
     out = toxicity.toxicity(docs, docs.select("doc_id", "text").join(few, "doc_id"))
-    return out.select("doc_id", (rest == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
