@@ -52,14 +52,21 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]
     return out.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
-def index_membership(weights: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(dti, ii, weight) on every date of ``calendar``: the last published weights (dti, ii, weight), as parts of their total; dates before the first have none."""
+def index_membership(weights: DataFrame, calendar: DataFrame, backfill: int | None = None) -> DataFrame:
+    """(dti, ii, weight) on every date of ``calendar``: the last published weights (dti, ii, weight), as parts of their total; dates before the first have none.
+
+    With ``backfill``, earlier dates take what was published on that date, if anything was.
+    """
     total = F.sum("weight").over(Window.partitionBy("dti"))
     known = weights.select("dti", "ii", ratio(F.col("weight"), total).alias("weight"))
     # dates are one row each, so the single window holds a calendar
-    published = weights.select("dti").distinct().withColumn("published", F.col("dti"))
-    dates = calendar.select("dti").distinct().join(published, "dti", "full")
-    dates = dates.select("dti", F.last("published", True).over(Window.orderBy("dti").rowsBetween(Window.unboundedPreceding, 0)).alias("published")).join(calendar.select("dti").distinct(), "dti", "left_semi")
+    published, days = weights.select(F.col("dti").alias("published")).distinct(), calendar.select("dti").distinct()
+    line = Window.orderBy("dti").rowsBetween(Window.unboundedPreceding, 0)
+    both = days.join(published.withColumn("dti", F.col("published")), "dti", "full")
+    if backfill is not None:
+        first = published.where(F.col("published") == backfill).select(F.col("published").alias("_first"))
+        both = both.join(first, (F.col("dti") < backfill), "left").withColumn("published", F.when(F.col("dti") < backfill, F.col("_first")).otherwise(F.col("published")))
+    dates = both.select("dti", F.last("published", True).over(line).alias("published")).join(days, "dti", "left_semi")
     return dates.join(known.withColumnRenamed("dti", "published"), "published").select("dti", "ii", "weight")
 
 

@@ -202,3 +202,33 @@ def per_symbol(signal: DataFrame, fee: float, per_year: int) -> DataFrame:
         zero(F.when(both > 0, F.sum(F.col("p") * F.col("ret")) / F.sqrt(F.when(both > 0, both)))).alias("cos"), zero(F.avg("trade")).alias("tvr"), zero(F.sum("pnl")).alias("total_pnl"), zero(F.avg("pnl") * per_year).alias("yearly_pnl"),
         zero(F.when(traded > 0, F.sum("pnl") / F.when(traded > 0, traded) * 10000)).alias("pnl_bps"), zero(F.when(sd > 1e-20, F.avg("pnl") / F.when(sd > 1e-20, sd) * per_year**0.5)).alias("ir"), F.max("_dd").alias("dd"),
     )
+
+
+def portfolio(signal: DataFrame, fee: float, per_year: int) -> DataFrame:
+    """One row for all instruments together, as ``per_symbol`` takes them: turnover, total and yearly profit, ratio, basis points, drawdown, Calmar ratio and win rate.
+
+    A date without any position counts with no profit; the first date earns nothing
+    and is left out.  The turnover is the sum of the instruments' mean ones.
+    """
+    back = history().rowsBetween(Window.unboundedPreceding, 0)
+    held = F.coalesce("value", F.when(F.count("value").over(back) > 0, 0.0))
+    df = signal.select("dti", "ii", "ret", held.alias("s")).withColumn("p", F.lag("s").over(history()))
+    df = df.withColumn("trade", F.abs(F.col("s") - F.col("p"))).withColumn("gain", F.col("p") * F.col("ret") - F.col("trade") * fee)
+    each = df.groupBy("ii").agg(F.coalesce(F.avg("trade"), F.lit(0.0)).alias("tvr")).agg(F.sum("tvr").alias("tvr"))
+    # one row a date from here on
+    line = Window.partitionBy(F.lit(0)).orderBy("dti")
+    days = df.groupBy("dti").agg(F.sum(F.coalesce("gain", F.lit(0.0))).alias("pnl")).withColumn("k", F.row_number().over(line)).where("k > 1")
+    days = days.withColumn("_cum", F.sum("pnl").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    days = days.withColumn("_dd", F.max("_cum").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cum"))
+    live = F.abs(F.col("pnl")) > 1e-15
+    sums = days.agg(F.sum("pnl").alias("total_pnl"), (F.avg("pnl") * per_year).alias("yearly_pnl"), F.avg("pnl").alias("_mean"), F.stddev_pop("pnl").alias("_sd"), F.max("_dd").alias("dd"), F.count(F.when(F.col("pnl") > 1e-15, 1)).alias("_won"), F.count(F.when(live, 1)).alias("_live"))
+    out = sums.join(each, how="cross")
+    safe = lambda a, b: F.coalesce(F.when(F.col(b) > 0, F.col(a) / F.when(F.col(b) > 0, F.col(b))), F.lit(0.0))
+    ir = F.when(F.col("_sd") > 0, F.col("_mean") / F.when(F.col("_sd") > 0, F.col("_sd")) * per_year**0.5)
+    return out.select("tvr", "total_pnl", "yearly_pnl", ir.alias("ir"), (safe("_mean", "tvr") * 10000).alias("pnl_bps"), "dd", safe("yearly_pnl", "dd").alias("calmar_ratio"), safe("_won", "_live").alias("win_rate"))
+
+
+def allocated(signals: list[DataFrame], weights: list[float]) -> DataFrame:
+    """The weighted sum of signals by their shares of all weights; NULL where all are missing."""
+    total = sum(weights)
+    return combine(signals, [w / total for w in weights], mean=False)

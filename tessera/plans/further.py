@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import choose, linear, metrics, risk, states
-from ..sources.panel import supplier_panel
+from ..functions import dates
+from ..operators import choose, linear, market, metrics, pnl, risk, states
+from ..sources.panel import supplier_panel, supplier_quotes
 from . import catalog as base
 from . import live
+from .more import QUOTES
 
 FOUND: dict = {}
 
@@ -172,6 +174,38 @@ def cell_differences(spark, sf):
     return metrics.cell_differences(df.select("dti", "ii", F.col("x").alias("value")), df.select("dti", "ii", F.col("y").alias("value")))
 
 
+@query("pnl_portfolio", f"""WITH {base.PANEL}, h AS (SELECT dti, ii, ret, coalesce(y - x, CASE WHEN count(y - x) OVER (PARTITION BY ii ORDER BY dti ROWS UNBOUNDED PRECEDING) > 0 THEN 0 END) AS s FROM panel),
+    q AS (SELECT *, lag(s) OVER (PARTITION BY ii ORDER BY dti) AS p FROM h), t AS (SELECT *, abs(s - p) AS trade, p * ret - abs(s - p) * 0.0002::DOUBLE AS gain FROM q), e AS (SELECT sum(t) AS tvr FROM (SELECT coalesce(avg(trade), 0) AS t FROM t GROUP BY ii)),
+    d AS (SELECT dti, sum(coalesce(gain, 0)) AS pnl, row_number() OVER (ORDER BY dti) AS k FROM t GROUP BY dti), c AS (SELECT *, sum(pnl) OVER (ORDER BY dti ROWS UNBOUNDED PRECEDING) AS cum FROM d WHERE k > 1), w AS (SELECT *, max(cum) OVER (ORDER BY dti ROWS UNBOUNDED PRECEDING) - cum AS dd FROM c),
+    a AS (SELECT max(tvr) AS tvr, sum(pnl) AS total_pnl, avg(pnl) * 12 AS yearly_pnl, avg(pnl) / stddev_pop(pnl) * sqrt(12) AS ir, avg(pnl) / max(tvr) * 10000 AS pnl_bps, max(dd) AS dd, CASE WHEN max(dd) > 0 THEN avg(pnl) * 12 / max(dd) ELSE 0 END AS calmar_ratio, count(*) FILTER (pnl > 1e-15) / count(*) FILTER (abs(pnl) > 1e-15) AS win_rate FROM w, e)
+    SELECT {shown("tvr", "total_pnl", "yearly_pnl", "ir", "pnl_bps", "dd", "calmar_ratio", "win_rate")} FROM a""")
+def pnl_portfolio(spark, sf):
+    return pnl.portfolio(panel(spark, sf).withColumn("value", F.col("y") - F.col("x")), 0.0002, 12)
+
+
+@query("combined_allocated", f"WITH {base.PANEL} SELECT dti, ii, round(CASE WHEN x IS NOT NULL OR y IS NOT NULL THEN coalesce(x, 0) * 0.75 + coalesce(y, 0) * 0.25 END, {base.PLACES}) + 0.0 AS value FROM panel")
+def combined_allocated(spark, sf):
+    df = panel(spark, sf)
+    return pnl.allocated([df.select("dti", "ii", F.col(c).alias("value")) for c in ("x", "y")], [3.0, 1.0])
+
+
+@query("index_weights_backfilled", f"""WITH {QUOTES}, pub AS (SELECT dti, ii, vol / sum(vol) OVER (PARTITION BY dti) AS weight FROM quotes WHERE vol > 60),
+    d AS (SELECT q.dti, max(p.dti) AS published FROM (SELECT DISTINCT dti FROM quotes) q JOIN (SELECT DISTINCT dti FROM pub) p ON p.dti <= greatest(q.dti, 30) AND (q.dti >= 30 OR p.dti = 30) GROUP BY q.dti)
+    SELECT d.dti, ii, {shown("weight")} FROM d JOIN pub ON pub.dti = d.published""")
+def index_weights_backfilled(spark, sf):
+    quotes = supplier_quotes(spark, sf)
+    return market.index_membership(quotes.where("vol > 60").select("dti", "ii", F.col("vol").alias("weight")), quotes, 30)
+
+
+@query("date_fields", """SELECT o_orderkey, CAST(strftime(d + INTERVAL 1 DAY, '%Y%m%d') AS INTEGER) AS next_day, CAST(strftime(d - INTERVAL 1 DAY, '%Y%m%d') AS INTEGER) AS last_day, CAST(isoyear(d) AS INTEGER) AS week_year, CAST(weekofyear(d) AS INTEGER) AS week, CAST(isodow(d) AS INTEGER) AS weekday,
+    CAST(strftime(date_trunc('month', d), '%Y%m01') AS INTEGER) AS month_first, CAST(strftime(last_day(d), '%Y%m%d') AS INTEGER) AS month_last FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def date_fields(spark, sf):
+    d = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
+    df = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", d.alias("d"))
+    week, month = dates.iso_week(F.col("d")), dates.month_of(F.col("d"))
+    return df.select("o_orderkey", dates.shifted(F.col("d"), 1).alias("next_day"), dates.shifted(F.col("d"), -1).alias("last_day"), week["year"].alias("week_year"), week["week"].alias("week"), week["weekday"].alias("weekday"), month["first"].alias("month_first"), month["last"].alias("month_last"))
+
+
 # --- open days
 _OPEN = 80
 _LIVE_ROWS = f"""open AS (SELECT dti AS d, dti, ii, g, univ, CASE WHEN univ THEN ret * 30 END AS x FROM panel WHERE dti >= {_OPEN} UNION ALL SELECT d.dti, p.dti, p.ii, p.g, p.univ, p.x FROM panel p JOIN (SELECT DISTINCT dti FROM panel WHERE dti >= {_OPEN}) d ON p.dti < d.dti)"""

@@ -5,10 +5,12 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import catalog, more
+from tessera.plans import catalog, further, more, trading
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.queries() | more.queries(), catalog.oracle_sql() | more.oracle_sql()
+PARTS = catalog, more, trading, further
+QUERIES = {name: run for part in PARTS for name, run in part.queries().items()}
+SQL = {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}
 
 
 @pytest.fixture(scope="module")
