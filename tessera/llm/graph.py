@@ -14,7 +14,7 @@ from .store import cut, drop, release, written
 #: Most rows of a key that one task compares with each other or with another block.
 BLOCK = 512
 #: Rows and bytes that a task gathers before it compares, and pairs it compares at once.
-ROWS, BYTES, PAIRS = 1 << 18, 1 << 25, 1 << 18
+ROWS, BYTES, PAIRS = 1 << 17, 1 << 24, 1 << 17
 #: One in so many ids tells how large a key is, which only decides how many cells it is dealt to.
 TOLD = 8
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_noting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noted(paths: list[str]) -> Iterator[None]:
+    """Collects in ``paths`` what is written meanwhile, for a drop once no plan reads it any more."""
+    _noting.append(paths)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     # most columns are hashes, which no dictionary makes smaller
     df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    for paths in _noting[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
