@@ -57,9 +57,10 @@ def stats(days: DataFrame, per_year: int = 250) -> DataFrame:
     """Sharpe-like ratio on the population deviation, win rate, profit in basis points of trading, and Calmar ratio."""
     sd = F.stddev_pop("pnl")
     live = F.abs(F.col("pnl")) > 1e-15
+    decided, traded = F.count(F.when(live, 1)), F.sum("trade_val")
     return drawdown(days, "pnl").agg(
-        F.when(sd > 0, F.avg("pnl") / F.when(sd > 0, sd) * math.sqrt(per_year)).alias("ir"), (F.count(F.when(live & (F.col("pnl") > 0), 1)) / F.count(F.when(live, 1))).alias("win_rate"),
-        (F.sum("pnl") / F.sum("trade_val") * 10000).alias("pnl_bps"), (F.avg("pnl") * per_year).alias("pnl_y"), F.min("dd").alias("max_dd"), F.when(F.min("dd") < 0, F.avg("pnl") * per_year / -F.min("dd")).alias("calmar"),
+        F.when(sd > 0, F.avg("pnl") / F.when(sd > 0, sd) * math.sqrt(per_year)).alias("ir"), (F.count(F.when(live & (F.col("pnl") > 0), 1)) / F.when(decided > 0, decided)).alias("win_rate"),
+        (F.sum("pnl") / F.when(traded > 0, traded) * 10000).alias("pnl_bps"), (F.avg("pnl") * per_year).alias("pnl_y"), F.min("dd").alias("max_dd"), F.when(F.min("dd") < 0, F.avg("pnl") * per_year / -F.min("dd")).alias("calmar"),
     )
 
 
@@ -75,7 +76,7 @@ def adjusted(prices: DataFrame) -> DataFrame:
     out = prices.withColumn("_f", factor)
     out = out.withColumn("cumadj", F.product("_f").over(history().rowsBetween(Window.unboundedPreceding, 0)))
     before = F.lag("close").over(history())
-    return out.withColumn("ret", F.when(before != 0, F.col("close") * F.col("_f") / F.when(before != 0, before) - 1)).withColumn("adj_close", F.col("close") * F.col("cumadj")).withColumn("adj_vol", F.col("vol") / F.col("cumadj")).drop("_f")
+    return out.withColumn("ret", F.when(before != 0, F.col("close") * F.col("_f") / F.when(before != 0, before) - 1)).withColumn("adj_close", F.col("close") * F.col("cumadj")).withColumn("adj_vol", F.col("vol") / F.when(F.col("cumadj") != 0, F.col("cumadj"))).drop("_f")
 
 
 def combine(signals: list[DataFrame], weights: list[float], mean: bool = False) -> DataFrame:
