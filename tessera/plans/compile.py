@@ -129,21 +129,16 @@ class Plan:
             full = full & x.isNotNull()
         pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]] + [(x, y) for x in xs]
         rows = int(number(n))
+        frame = Window.partitionBy(self.key).orderBy(self.date).rowsBetween(1 - rows, 0)
+        parts = [F.sum(F.when(full, a * b)) for a, b in pairs] + [F.count(F.when(full, 1))]
         if name == "c_reg":
-            # one row per date
-            frame = Window.partitionBy(F.lit(0)).orderBy(self.date).rangeBetween(1 - rows, 0)
-            daily = self.df.groupBy(self.date).agg(*[F.sum(F.when(full, a * b)).alias(f"_d{i}") for i, (a, b) in enumerate(pairs)], F.count(F.when(full, 1)).alias("_dn"))
-            sums = daily.select(self.date, *[F.sum(f"_d{i}").over(frame).alias(f"_s{i}") for i in range(len(pairs))], F.sum("_dn").over(frame).alias("_sn"))
-            self.df = self.df.join(sums, self.date, "left")
-            s, count = [F.col(f"_s{i}") for i in range(len(pairs))], F.col("_sn")
-        else:
-            frame = Window.partitionBy(self.key).orderBy(self.date).rowsBetween(1 - rows, 0)
-            s, count = [self.keep(F.sum(F.when(full, a * b)).over(frame)) for a, b in pairs], self.keep(F.count(F.when(full, 1)).over(frame))
+            # a date's sums stand in each of its rows, so an instrument's last rows have those of the last dates
+            of_date = Window.partitionBy(self.date)
+            parts = [F.sum(d) for d in [self.keep(F.coalesce(p.over(of_date), F.lit(0))) for p in parts]]
+        *s, count = [self.keep(p.over(frame)) for p in parts]
         b = [self.keep(F.when(count >= len(xs), c)) for c in self.solved(s, len(xs))]
         k = int(number(k))
         out = self.keep(b[k - 1] if k else y - sum((c * x for c, x in zip(b, xs)), F.lit(0.0)))
-        if name == "c_reg":
-            self.df = self.df.drop(*[f"_s{i}" for i in range(len(pairs))], "_sn")
         return F.when(y.isNotNull() if name == "c_reg" else full, out)
 
     def solved(self, s: list[Column], k: int) -> list[Column]:
