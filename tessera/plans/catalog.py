@@ -45,9 +45,9 @@ SCALAR = {
     "is_valid": ("(is_valid x)", "x IS NOT NULL"), "const": ("(const 2.5)", "2.5"), "bound": ("(bound x y 0.5)", "coalesce(abs(x - y) <= 0.5, false)"), "pow": ("(pow x 2)", "x * x"),
     "spow": ("(spow x 0.5)", "sign(x) * sqrt(abs(x))"), "pow_int": ("(pow_int x 3)", "x * x * x"), "spow_int": ("(spow_int x 2)", "sign(x) * x * x"), "add": ("(add x y 1)", "x + y + 1"), "sub": ("(sub x y 1)", "x - y - 1"),
     "mul": ("(mul x y 2)", "x * y * 2"), "div": ("(div x y)", "x / nullif(y, 0)"), "plus": ("(+ x y)", "x + y"), "minus": ("(- x y)", "x - y"), "times": ("(* x y)", "x * y"), "over": ("(/ x (add y 9))", "x / (y + 9)"),
-    "gt": ("(> x y)", "coalesce(x > y, false)"), "ge": ("(>= x y)", "coalesce(x >= y, false)"), "lt": ("(< x y)", "coalesce(x < y, false)"), "le": ("(<= x y)", "coalesce(x <= y, false)"), "eq": ("(== x x)", "coalesce(x = x, false)"), "ne": ("(!= x y)", "coalesce(x <> y, true)"),
+    "gt": ("(> x y)", "coalesce(x > y, false)"), "ge": ("(>= x y)", "coalesce(x >= y, false)"), "lt": ("(< x y)", "coalesce(x < y, false)"), "le": ("(<= x y)", "coalesce(x <= y, false)"), "eq": ("(== (sign x) (sign y))", "coalesce(sign(x) = sign(y), false)"), "ne": ("(!= x y)", "coalesce(x <> y, true)"),
     "and": ("(& (> x 0) (> y 0))", "coalesce(x > 0, false) AND coalesce(y > 0, false)"), "or": ("(| (> x 0) (> y 0))", "coalesce(x > 0, false) OR coalesce(y > 0, false)"), "filter_v": ("(filter_v x y)", "CASE WHEN y IS NOT NULL THEN x END"),
-    "filter": ("(filter x (> y 0))", "CASE WHEN y > 0 THEN x END"), "max": ("(max x y)", "greatest(x, y)"), "min": ("(min x y)", "least(x, y)"), "diff_date": ("(diff_date (add (mul dti 0) 20240301) 20240115)", "46"), "if": ("(if (> x y) x 7)", "CASE WHEN x > y THEN x ELSE 7 END"),
+    "filter": ("(filter x (> y 0))", "CASE WHEN y > 0 THEN x END"), "max": ("(max x y)", "greatest(x, y)"), "min": ("(min x y)", "least(x, y)"), "diff_date": ("(diff_date (add (max (min dti 28) 1) 20240300) 20240115)", "45 + greatest(least(dti, 28), 1)"), "if": ("(if (> x y) x 7)", "CASE WHEN x > y THEN x ELSE 7 END"),
 }
 
 _Z = "(x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0)"
