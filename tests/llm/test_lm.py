@@ -134,3 +134,53 @@ def test_a_text_in_its_order():
             total += math.log10((lm.URN * 10 ** chance[u] + own.get(u, 0)) / (lm.URN + k))
             own[u] = own.get(u, 0) + 1
         assert value == pytest.approx(total, rel=1e-9)
+
+
+def test_contexts_cross_units():
+    """The first bytes of a unit have the contexts of the text, not only of their unit."""
+    text = b"a the  cat \n sat\tx\xff"
+    data = np.frombuffer(text, np.uint8)
+    units = lm.UNIT.findall(text)
+    at = np.concatenate(([0], np.cumsum([len(u) for u in units])))
+    heads = lm.heads_of(lm.ends_of(data, at), np.array([0]))
+    whole, _ = lm.contexts(data, np.arange(len(data)) == 0)
+    first = np.zeros(len(data), bool)
+    first[at[:-1]] = True
+    inside, _ = lm.contexts(data, first)
+    for k, (head, unit) in enumerate(zip(heads, units)):
+        edges = lm.HeadEdges(np.array([head]), np.ones(1))
+        assert bytes(edges.data) == unit[: lm.REACH]
+        for p in range(len(edges.data)):
+            b = at[k] + p
+            assert (edges.h[: lm.REACH, p] == whole[: lm.REACH, b]).all() and edges.place[p] == p
+            assert edges.h[lm.ORDERS, p] == inside[lm.ORDERS, b]
+            # two more bytes of the context are the text's where the head has them
+            for order in range(lm.REACH, lm.ORDERS):
+                assert order >= lm.REACH + p or edges.h[order, p] == whole[order, b]
+
+
+def test_score_follows_the_order_of_a_text(spark):
+    rng = np.random.default_rng(4)
+    pairs = [("red", "fox"), ("blue", "whale"), ("grey", "owl"), ("tiny", "ant")]
+    texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 4, 60)) for _ in range(40)]
+    one = "red fox blue whale grey owl tiny ant"
+    other = "fox red whale blue owl grey ant tiny"
+    rows = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10] + [(i, t) for i in range(1000, 1100) if not zlib.crc32(str(i).encode()) % 10 for t in (one, other)]
+    got = {}
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.crc32(F.col("doc_id").cast("string")) % 10 == 0).where("held_out").collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for a, b in got.values():
+        assert abs(a - b) > 1
+
+
+def test_a_text_unit_by_unit():
+    rng = np.random.default_rng(3)
+    ids, texts = rng.integers(0, 9, 50), np.array([0, 20, 21])
+    chance = np.log10(rng.uniform(0.01, 0.5, 50))
+    got = lm.adapted(chance, np.ones(50, np.int64), texts, lm.times_before(ids, texts))
+    for lo, hi, value in zip(texts, [20, 21, 50], got):
+        own, total = Counter(), 0.0
+        for k, i in enumerate(range(lo, hi)):
+            total += math.log10((lm.URN * 10 ** chance[i] + own[ids[i]]) / (lm.URN + k))
+            own[ids[i]] += 1
+        assert value == pytest.approx(total, rel=1e-9)
