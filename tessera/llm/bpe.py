@@ -44,20 +44,20 @@ def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np
     data = np.frombuffer(b"".join(words), np.uint8)
     n = len(data)
     ends = np.cumsum([len(w) for w in words])
-    own = byte_ids[data]
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    own = byte_ids[data].astype(np.int32)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     nxt[ends - 1] = n  # nothing follows a word's last byte
     prv[np.concatenate(([0], ends[:-1]))] = -1
-    own = np.append(own, -1)
+    own = np.append(own, np.int32(-1))
     keys, of = pairs
-    live = np.full(n + 1, -1)  # rank of the pair that starts here
+    live = np.full(n + 1, -1, np.int32)  # rank of the pair that starts here
     where: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
     def enter(at: np.ndarray) -> None:
         """Look up the pairs that start at ``at`` and file them by rank."""
         right = own[nxt[at]]
-        want = own[at] << 20 | right
+        want = own[at].astype(np.int64) << 20 | right
         k = np.searchsorted(keys, want)
         k[k == len(keys)] = 0
         r = np.where((keys[k] == want) & (right >= 0), of[k], -1)
@@ -75,7 +75,8 @@ def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np
             where[rank].append(at[lo:hi])
 
     if n:
-        enter(np.arange(n))
+        for lo in range(0, n, CORPUS >> 3):
+            enter(np.arange(lo, min(lo + (CORPUS >> 3), n), dtype=np.int32))
     while heap:
         r = heapq.heappop(heap)
         lists = where.pop(r)
@@ -119,8 +120,6 @@ class Codec:
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         long = []
         for w in words:
             if w not in self.known:
@@ -141,8 +140,11 @@ class Codec:
         """Entries (ids, their decimals) of each text's matches."""
         split = [self.find(t or "") for t in texts]
         new = set(itertools.chain.from_iterable(split)) - self.known.keys()
+        if new and self.known and len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set(itertools.chain.from_iterable(split))
         if new:
-            self.learn(new if len(self.known) <= REMEMBERED else set(itertools.chain.from_iterable(split)))
+            self.learn(new)
         known = self.known
         return [list(map(known.__getitem__, words)) for words in split]
 

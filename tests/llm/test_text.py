@@ -3,11 +3,13 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
 from tessera.llm import bpe, mixing, quality
+from tessera.llm import textvec as tv
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -128,3 +130,16 @@ def test_bpe_edges(spark):
     back = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()
     assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t in rows)
     assert bpe.digests(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_word_hashes_are_sums_over_their_bytes():
+    """Hashes of words byte by byte, wherever a word lies."""
+    texts = ["One two", None, "", "  a\tbcdefghij\n" * 50, "é" * 3000 + " end"]
+    hashes, bounds, begun = tv.hash_words(texts, tv.space_table(), begin=4)
+    words = [[w.encode().lower() for w in (t or "").split()] for t in texts]
+    value, ones = [int(x) for x in tv.byte_values()], (1 << 64) - 1
+    own = lambda w: sum(value[b] * pow(int(tv.ODD), k, 1 << 64) for k, b in enumerate(w)) & ones
+    flat = [w for ws in words for w in ws]
+    assert hashes.tolist() == [int(tv.mix(np.array([(own(w) + len(w)) & ones], np.uint64))[0]) for w in flat]
+    assert begun.tolist() == [int(tv.mix(np.array([own(w[:4]) ^ int(tv.ODD)], np.uint64))[0]) for w in flat]
+    assert np.diff(bounds).tolist() == [len(w) for w in words]
