@@ -9,6 +9,7 @@ import heapq
 import itertools
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from . import textvec as tv
 
-#: Words whose ids a Python worker remembers, and characters of text that are one corpus for a replay.
+#: Words and stretches whose ids a Python worker remembers, and characters of text that are one corpus for a replay.
 REMEMBERED, CORPUS = 250_000, 1 << 23
+#: The pattern whose texts can be cut at blanks before its matches are sought.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +36,14 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of ``x``, sorted; sorts it in place."""
+    x.sort()
+    some = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=some[1:])
+    return x[some]
+
+
 def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words in a row, bounds of each word).
 
@@ -65,8 +76,8 @@ def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np
         at, r = at[r >= 0], r[r >= 0]
         if not len(at):
             return
-        order = np.argsort(r, kind="stable")
-        at, r = at[order], r[order]
+        both = distinct(r.astype(np.int64) << 32 | at)
+        at, r = both.astype(np.int32), both >> 32
         cut = np.flatnonzero(np.diff(r)) + 1
         for lo, hi, rank in zip([0, *cut.tolist()], [*cut.tolist(), len(r)], r[np.concatenate(([0], cut))].tolist()):
             if rank not in where:
@@ -80,7 +91,7 @@ def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np
     while heap:
         r = heapq.heappop(heap)
         lists = where.pop(r)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = lists[0] if len(lists) == 1 else distinct(np.concatenate(lists))
         at = at[live[at] == r]
         if len(at) > 1 and (nxt[at[:-1]] == at[1:]).any():
             keep, last = np.ones(len(at), bool), -1
@@ -99,13 +110,13 @@ def replay(words: list[bytes], byte_ids: np.ndarray, pairs: tuple[np.ndarray, np
         inside = after < n
         prv[after[inside]] = at[inside]
         before = prv[at]
-        enter(np.unique(np.concatenate((at, before[before >= 0]))))
+        enter(np.concatenate((at, before[before >= 0])))
     kept = own[:-1] >= 0
     return own[:-1][kept], np.concatenate(([0], np.cumsum(kept)[ends - 1])) if n else np.zeros(len(words) + 1, np.int64)
 
 
 class Codec:
-    """Encodes and decodes with the ranks of a vocabulary file; remembers the words it met."""
+    """Encodes and decodes with the ranks of a vocabulary file; remembers the words and stretches of text it met."""
 
     def __init__(self, lines: bytes, pattern: str):
         import regex
@@ -114,39 +125,74 @@ class Codec:
         self.table = [b""] * (max(self.ranks.values()) + 1)
         for token, r in self.ranks.items():
             self.table[r] = token
+        self.decimals = list(map(str, range(len(self.table))))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = pair_table(self.ranks)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        long = []
-        for w in words:
-            if w not in self.known:
-                b = w.encode("utf-8", "surrogatepass")
-                r = self.ranks.get(b)
-                if r is None:
-                    long.append((w, b))
+        self.split = self.stretches if pattern == SPACED else self.find
+        self.loose = regex.compile(r" (?!\S)").search
+        #: The decimals of a stretch's ids, joined by blanks, and the bytes that the ids decode to.
+        self.known: dict[str, tuple[str, bytes]] = {}
+
+    def stretches(self, text: str) -> list[str]:
+        """``text`` cut before each blank that no white space follows.
+
+        SPACED begins a match at every such blank: only its white space could reach
+        one, and leaves the last of it where more follows.  So the matches of
+        the stretches are those of the text.
+        """
+        if "\0" in text:
+            return self.find(text)
+        out = text.replace(" ", "\0 ").split("\0")
+        if self.loose(text):
+            parts, out = out, [out[0]]
+            for x in parts[1:]:
+                if self.loose(x):
+                    out[-1] += x
                 else:
-                    self.known[w] = (r,), str(r)
+                    out.append(x)
+        return out if out[0] else out[1:]
+
+    def learn(self, new: set[str]) -> None:
+        """Remember stretches: their words are encoded, together, and decoded again."""
+        known, several, words = self.known, [], set()
+        for x in new:
+            own = self.find(x)
+            words.update(own)
+            if len(own) > 1:
+                several.append((x, own))
+        long = []
+        for w in words - known.keys():
+            b = w.encode("utf-8", "surrogatepass")
+            r = self.ranks.get(b)
+            if r is None:
+                long.append((w, b))
+            else:
+                known[w] = self.decimals[r], self.table[r]
         if long:
             ids, bounds = replay([b for _, b in long], self.byte_ids, self.pairs)
             ids, bounds = ids.tolist(), bounds.tolist()
+            numbers, raw = list(map(self.decimals.__getitem__, ids)), list(map(self.table.__getitem__, ids))
             for (w, _), lo, hi in zip(long, bounds, bounds[1:]):
-                own = tuple(ids[lo:hi])
-                self.known[w] = own, " ".join(map(str, own))
-
-    def encode(self, texts: list) -> list[list]:
-        """Entries (ids, their decimals) of each text's matches."""
-        split = [self.find(t or "") for t in texts]
-        new = set(itertools.chain.from_iterable(split)) - self.known.keys()
-        if new and self.known and len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(itertools.chain.from_iterable(split))
+                known[w] = " ".join(numbers[lo:hi]), b"".join(raw[lo:hi])
+        for x, own in several:
+            numbers, raw = zip(*map(known.__getitem__, own))
+            known[x] = " ".join(numbers), b"".join(raw)
+
+    def encode(self, texts: list) -> Iterator[tuple[str, bytes]]:
+        """The decimals of each text's ids, joined by blanks, and the bytes that the ids decode to."""
+        # texts are cut twice, as all their stretches take more memory than what is remembered
+        met = set(itertools.chain.from_iterable(self.split(t) for t in texts if t))
+        new = met - self.known.keys()
+        if new and len(self.known) + len(new) > REMEMBERED:
+            # of what is remembered, this much is met again
+            self.known = {x: self.known[x] for x in met - new}
         if new:
             self.learn(new)
-        known = self.known
-        return [list(map(known.__getitem__, words)) for words in split]
+        del met, new
+        for t in texts:
+            numbers, raw = zip(*map(self.known.__getitem__, self.split(t))) if t else ((), ())
+            yield " ".join(numbers), b"".join(raw)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -172,10 +218,7 @@ def _digests(batches, lines: bytes, pattern: str):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in tv.chunks(texts, CORPUS):
-            rows = []
-            for words in own.encode(texts[lo:hi]):
-                tokens = list(itertools.chain.from_iterable(e[0] for e in words))
-                rows.append((len(tokens), hashlib.sha256(" ".join([e[1] for e in words]).encode()).hexdigest(), hashlib.sha256(own.decode(tokens)).hexdigest()))
+            rows = ((numbers.count(" ") + (numbers != ""), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) for numbers, raw in own.encode(texts[lo:hi]))
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -185,7 +228,7 @@ def _encoded(batches, lines: bytes, pattern: str):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for lo, hi in tv.chunks(texts, CORPUS):
-            got = [list(itertools.chain.from_iterable(e[0] for e in words)) for words in own.encode(texts[lo:hi])]
+            got = [list(map(int, numbers.split())) for numbers, _ in own.encode(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
