@@ -91,12 +91,12 @@ def zero_filled(panel: DataFrame, x: str) -> DataFrame:
     return panel.withColumn("value", F.coalesce(fin(F.col(x)), F.when(seen, 0.0)))
 
 
-def ranked(panel: DataFrame, x: str) -> DataFrame:
-    """Average rank over n - 1 across a date, ties within 1e-6 of their neighbours; a single value has none."""
+def ranked(panel: DataFrame, x: str, tie: float = 0.0) -> DataFrame:
+    """Average rank over n - 1 across a date; a single value has none.  Equal values share a rank, and neighbours in order within a relative ``tie``."""
     plan = Plan(panel, None)
     cell = plan.keep(fin(F.col(x)))
     n = F.count(cell).over(Window.partitionBy("dti"))
-    rank = cross.rank(cell, [], ["dti"], plan.keep)
+    rank = cross.rank_near(cell, [tie], ["dti"], plan.keep) if tie else cross.rank(cell, [], ["dti"])
     return plan.df.withColumn("value", F.when(n > 1, rank)).select(*panel.columns, "value")
 
 

@@ -157,13 +157,16 @@ def _ranked(df, make, name="value"):
 
 
 @op("rank")
-def _rank(df):
-    return _ranked(_masked(df), lambda keep: cross.rank(val(), [], ["dti"], keep))
+def _rank(df, tie=0.0):
+    """Ranks from 0 to 1; equal values share one, and with a ``tie`` neighbours in order whose relative difference is at most that."""
+    tie = float(tie)
+    return _ranked(_masked(df), lambda keep: cross.rank_near(val(), [tie], ["dti"], keep) if tie else cross.rank(val(), [], ["dti"]))
 
 
 @op("powrank")
-def _powrank(df, e):
-    return _ranked(_masked(df), lambda keep: cross.rankpow(val(), [float(e)], ["dti"], keep))
+def _powrank(df, e, tie=0.0):
+    e, tie = float(e), float(tie)
+    return _ranked(_masked(df), lambda keep: cross.rankpow_near(val(), [e, tie], ["dti"], keep) if tie else cross.rankpow(val(), [e], ["dti"]))
 
 
 @op("scale")

@@ -22,8 +22,9 @@ PANEL = """cells AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) A
 PLACES = 5
 
 
-def _shown(c):
-    return F.round(c, PLACES) + F.lit(0.0)
+def _shown(c, places: int = PLACES):
+    """Rounded as the SQL rounds: the product with the power of ten as a double, halves away from zero."""
+    return F.round(c * 10.0**places) / 10.0**places + F.lit(0.0)
 
 
 def _expr(text: str):

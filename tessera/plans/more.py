@@ -525,7 +525,7 @@ _TIES = f"""WITH {base.PANEL}, v AS (SELECT dti, ii, CASE WHEN univ THEN round(x
 @query("op_rank_ties", _TIES)
 def op_rank_ties(spark, sf):
     df = _panel(spark, sf).withColumn("value", F.round("x", 1) + 2 + F.col("ii") * 1e-9)
-    return chain.apply_chain(df, "rank").select("dti", "ii", "value")
+    return chain.apply_chain(df, "rank:1e-6").select("dti", "ii", "value")
 
 
 def _regression_sql(k: int) -> str:

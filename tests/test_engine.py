@@ -123,3 +123,22 @@ def test_unknown(spark):
             evaluate(p, bad)
     with pytest.raises(ValueError):
         chain.apply_chain(p.withColumn("value", F.col("x")), "nothing:1")
+
+
+def test_only_equal_values_share_a_rank(spark):
+    p = panel(spark, [[1, 1 + 1e-7, 2, 2, 3]]).withColumn("value", F.col("x"))
+    assert grid(evaluate(p, "(rank x)")) == grid(chain.apply_chain(p, "rank")) == [[0, 0.25, 0.625, 0.625, 1]]
+    assert grid(evaluate(p, "(g_rank x g)")) == [[0, 0.5, 1, 0, 1]]
+    assert grid(chain.apply_chain(p, "rank|add:-0.5|multiply:8")) == [[-4, -2, 1, 1, 4]]
+    assert grid(evaluate(p, "(rank_near x 0.000001)")) == grid(chain.apply_chain(p, "rank:1e-6")) == [[0.125, 0.125, 0.625, 0.625, 1]]
+    assert grid(evaluate(p, "(g_rank_near x 0.000001 g)")) == [[0.25, 0.25, 1, 0, 1]]
+
+
+def test_doubles_round_as_in_the_sql(spark):
+    import duckdb
+
+    from tessera.plans.catalog import _shown
+
+    halves = [0.159375, 0.528125, -0.271875, 0.5, 0.000005, 1234567.000015]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in halves], "x double").select(_shown(F.col("x"))).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 5) + 0.0", [v]).fetchall()[0][0] for v in halves]
