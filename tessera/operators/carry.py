@@ -125,12 +125,13 @@ def nearest_cap(short: Column, quota: Column, least: float, most: float, similar
     The grid halves [least, most] until it is finer than ``step``; without such a
     factor it is the smaller of ``least`` and all quotas.  The sum is concave in the
     factor and bends where a quota is reached, so the first bend at which it no longer
-    suffices has the crossing before it.
+    suffices has the crossing before it.  What is left at a bend is summed from the
+    other end: a frame that runs to the end of a date is summed anew for each row.
     """
     day = Window.partitionBy("dti")
-    line = day.orderBy((quota / short).asc_nulls_last(), "ii")
+    line, back = day.orderBy((quota / short).asc_nulls_last(), "ii"), day.orderBy((quota / short).desc_nulls_first(), F.col("ii").desc())
     spent = keep(F.coalesce(F.sum(quota).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rest = keep(F.coalesce(F.sum(short).over(line.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0)))
+    rest = keep(F.coalesce(F.sum(short).over(back.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     every = keep(F.coalesce(F.sum(quota).over(day), F.lit(0.0)))
     bend = quota / short
     over = spent + bend * rest - similarity * bend
