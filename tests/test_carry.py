@@ -120,7 +120,8 @@ def test_no_window_over_all_instruments(spark):
     assert "windowspecdefinition(dti" not in plan and plan.count("windowspecdefinition(ii") > 0
 
 
-def test_no_frame_is_summed_anew_for_each_row_of_a_date(spark):
+@pytest.mark.parametrize("name", ["adjwtlimit", "adjwt"])
+def test_no_frame_is_summed_anew_for_each_row_of_a_date(spark, name):
     df = panel(spark, 1, 8, 3)[0].withColumns({"close": F.col("price"), "limit_up": F.lit(1e9), "limit_down": F.lit(0.0)})
-    plan = chain.apply_chain(df, "adjwtlimit:quota,0.1,2,0.5,0.01")._jdf.queryExecution().analyzed().toString()
+    plan = chain.apply_chain(df, f"{name}:quota,0.1,2,0.5,0.01")._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition(dti" in plan and "currentrow$(), unboundedfollowing$()" not in plan
