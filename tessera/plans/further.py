@@ -52,7 +52,7 @@ def _variance(scaled: bool) -> str:
 def _implied(scaled: bool):
     def run(spark, sf):
         df = panel(spark, sf)
-        found = risk.implied_variance(df.select("dti", "ii", F.col("x").alias("value")), risk.group_correlations(df, "ret", "g", 12), scaled)
+        found = risk.panel_variance(df.select("dti", "ii", F.col("x").alias("value")), df, "ret", "g", 12, scaled)
         return found.withColumn("variance", F.col("variance") * 1000)
 
     return run

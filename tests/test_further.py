@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import choose, linear, metrics, prep, risk, states
-from tessera.plans import live
+from tessera.plans import further, live
 from tessera.plans.compile import evaluate
 from tessera.sources.panel import write_range
 
@@ -205,3 +205,38 @@ def test_a_metric_of_ones_own(spark):
     finally:
         del metrics.METRICS["largest"]
     assert len(out) == 4 and max(r.largest for r in out) == df.agg(F.max(F.abs("value"))).first()[0]
+
+
+def _uneven(spark):
+    """Gaps, groups that change, rows that repeat a date and instrument, one value only, and values without a group."""
+    rng, rows = np.random.default_rng(5), []
+    for d in range(1, 40):
+        for i in range(9):
+            g = None if i == 8 and d % 5 == 0 else (i + (d > 6 and i == 2)) % 2
+            x = 2.5 if i == 7 else None if rng.random() < 0.25 else float(rng.normal())
+            rows += [(d, i, g, x, None if rng.random() < 0.1 else float(rng.normal()))]
+            if i == 3 and d % 4 == 0:
+                rows.append((d, i, g, float(rng.normal()), 0.5))
+    return spark.createDataFrame(rows, "dti int, ii long, g int, x double, value double")
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_panel_variance_is_that_of_all_pairs(spark, monkeypatch, scaled):
+    df = _uneven(spark)
+    want = {r.dti: r.variance for r in risk.implied_variance(df, risk.group_correlations(df, "x", "g", 12), scaled).collect()}
+    for held in (4096, 2):
+        monkeypatch.setattr(risk, "HELD", held)
+        got = {r.dti: r.variance for r in risk.panel_variance(df, df, "x", "g", 12, scaled).collect()}
+        assert got.keys() == want.keys() and sum(v is not None for v in got.values()) == 28
+        assert all((v is None) == (got[d] is None) and (v is None or got[d] == pytest.approx(v, rel=1e-9)) for d, v in want.items())
+    assert risk.panel_variance(df.limit(0), df.limit(0), "x", "g", 12, scaled).count() == 0
+    assert {r.variance for r in risk.panel_variance(df.withColumn("x", F.lit(None).cast("double")), df.withColumn("x", F.lit(None).cast("double")), "x", "g", 12, scaled).collect()} == {None}
+
+
+@pytest.mark.parametrize("name", ["implied_variance"])
+def test_implied_variance_makes_no_pairs_of_instruments(spark, monkeypatch, name):
+    def pairs(*_):
+        raise AssertionError("a row for each two instruments of a group")
+
+    monkeypatch.setattr(risk, "group_correlations", pairs)
+    assert further.queries()[name](spark, "/root/testdata/sf0.001").count() == 83
