@@ -233,7 +233,7 @@ def test_panel_variance_is_that_of_all_pairs(spark, monkeypatch, scaled):
     assert {r.variance for r in risk.panel_variance(df.withColumn("x", F.lit(None).cast("double")), df.withColumn("x", F.lit(None).cast("double")), "x", "g", 12, scaled).collect()} == {None}
 
 
-@pytest.mark.parametrize("name", ["implied_variance"])
+@pytest.mark.parametrize("name", ["implied_variance", "implied_variance_scaled"])
 def test_implied_variance_makes_no_pairs_of_instruments(spark, monkeypatch, name):
     def pairs(*_):
         raise AssertionError("a row for each two instruments of a group")
